@@ -1 +1,27 @@
-ORACLES: dict[str, str] = {}
+"""SQL for the queries that SQL can express on whole tables."""
+
+_OP3 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(role) + length(regexp_replace(role, '[^\\#:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\#]', '', 'g'))
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(role) - length(replace(role, '</turn>', ''))) // 7) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY digest)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest
+"""
+
+ORACLES: dict[str, str] = {"op3_chat_formatting": _OP3, "op5_warc": _OP5}
