@@ -1,0 +1 @@
+"""Analytics over corpora of formal documents, as Spark DataFrame plans."""
