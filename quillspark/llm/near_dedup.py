@@ -3,12 +3,14 @@
 1. Each text becomes its set of hashed word shingles. Equal sets are one class, stood for by its least id.
 2. ``BANDS`` x ``ROWS`` MinHash samples per class give band keys; the samples folded into a parity bitmap
    give the odd sketch. With 40 bands of 5, a pair of similarity 0.8 shares no band with probability 1e-7.
-3. Band buckets are searched in rounds. A round links each member of a bucket to one representative
-   of another component; when the remaining pairs of different components are few, all of them are
-   taken. A pair in one component needs no further test, so a bucket of g near copies costs about g
-   tests, not g squared, and no pair that could join two components is left out.
-4. The population count of two sketches' XOR estimates the similarity; candidates far under the
-   threshold (six standard errors) are dropped, the others are confirmed on their full shingle sets.
+3. Band buckets are searched in rounds. In a round each class outside the largest component of one of its
+   buckets is tested against one representative of such components, the one whose odd sketch is nearest.
+   The population count of two sketches' XOR estimates the similarity; candidates far under the
+   threshold (five standard errors) are dropped, the others are confirmed on their full shingle sets.
+   A pair in one component needs no test, so a bucket of g near copies costs about g tests, not g squared.
+4. Classes that are still outside after ``ROUNDS_OF_STARS`` rounds meet every class that shares a bucket
+   with them: as a query set, in blocks of ``BLOCK`` against blocks of their cluster of buckets. Only
+   confirmed links leave a block, so no pair that could join two components is left out, and none is listed.
 5. Components of the confirmed links, then every copy gets the component of its class.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Rows that repeat an id
@@ -35,9 +37,7 @@ _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SLOT = np.arange(SAMPLES, dtype=U64) << U64(32)
-#: All remaining pairs are taken once there are at most so many of them to each band row, or after MAX_ROUNDS.
-FULL_PAIRS_PER_ROW = 4
-MAX_ROUNDS = 4
+ROUNDS_OF_STARS, BLOCK = 2, 256
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
@@ -59,10 +59,12 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_differences(threshold: float) -> int:
-    """The largest XOR count that a pair at the threshold shows, six standard errors allowed."""
-    low = max(0.0, threshold - 6 * math.sqrt(threshold * (1 - threshold) / SAMPLES))
-    mean = BITS * (1 - math.exp(-4 * SAMPLES * (1 - low) / BITS)) / 2
-    return math.ceil(mean + 6 * math.sqrt(BITS) / 4)
+    """The largest XOR count that a pair at the threshold shows, five standard errors allowed."""
+    different = 2 * SAMPLES * (1 - threshold)
+    stays = math.exp(-2 * different / BITS)
+    sampling = 2 * math.sqrt(SAMPLES * threshold * (1 - threshold)) * stays
+    folding = math.sqrt(BITS * (1 - stays * stays) / 4)
+    return math.ceil(BITS * (1 - stays) / 2 + 5 * math.hypot(sampling, folding / 2))
 
 
 def estimate(differences: Column) -> Column:
@@ -117,16 +119,77 @@ def signatures(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "tex
     return d.mapInArrow(_signatures(k), "id long, n_shingles long, h1 long, h2 long, bands array<long>, odd array<long>")
 
 
-def _pairs(sketches: DataFrame, tested: DataFrame | None, pairs: DataFrame, limit: int, name: str) -> DataFrame:
-    """Distinct untested pairs (a, b) whose sketches do not rule them out."""
-    p = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if tested is not None:
-        p = p.join(tested, ["a", "b"], "left_anti")
-    sa = sketches.select(F.col("id").alias("a"), F.col("odd").alias("oa"))
-    sb = sketches.select(F.col("id").alias("b"), F.col("odd").alias("ob"))
-    p = p.join(sa, "a").join(sb, "b")
-    count = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
-    return cut(p.filter(count <= limit).select("a", "b"), name)
+def _blocks(k: int, percent: int, limit: int):
+    """Of rows sorted by block, the links of its query classes (side 0) with the others (side 1)."""
+
+    def links(rows: list[dict]):
+        queries, others = [r for r in rows if not r["side"]], [r for r in rows if r["side"]]
+        if not queries or not others:
+            return
+        bands, odd = np.array([r["bands"] for r in others]), np.array([r["odd"] for r in others])
+        comp, ids = np.array([r["comp"] for r in others]), np.array([r["id"] for r in others])
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles_of(r):
+            if r["id"] not in sets:
+                sets[r["id"]] = shingles(next(hashed_docs([(r["text"] or "").encode().lower()])), k)
+            return sets[r["id"]]
+
+        for q in queries:
+            near = (bands == np.array(q["bands"])).any(axis=1) & (comp != q["comp"]) & (ids != q["id"])
+            near &= np.bitwise_count(odd ^ np.array(q["odd"])).sum(axis=1) <= limit
+            joined: set[int] = set()  # one link to a component is enough
+            for i in np.flatnonzero(near):
+                if comp[i] not in joined:
+                    x, y = shingles_of(q), shingles_of(others[i])
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        joined.add(comp[i])
+                        yield int(ids[i]), q["id"]
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if (r["cluster"], r["bq"], r["bo"]) != key:
+                    found += links(rows)
+                    key, rows = (r["cluster"], r["bq"], r["bo"]), []
+                rows.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+        found = list(links(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _differences(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return cut(two.mapInArrow(_confirm(k, percent), "a long, b long"), "near-links")
+
+
+def _rest(now: DataFrame, heads: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, limit: int) -> DataFrame:
+    """Links of the classes outside the largest component of their cluster of buckets, in blocks."""
+    act = cut(now.join(heads.select("key"), "key", "left_semi"), "near-active")
+    stars = act.join(act.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
+    cluster = components(stars, "near-clusters").withColumnRenamed("component", "cluster")
+    member = act.select("id", "comp").distinct().join(cluster, F.col("id") == F.col("node")).drop("node")
+    sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("main"))
+    main = main.select("cluster", "m", (F.col("m") - F.col("main.n")).alias("q"), F.col("main.comp").alias("main"))
+    member = member.join(main, "cluster").withColumns({"nq": F.ceil(F.col("q") / BLOCK).cast("int"), "no": F.ceil(F.col("m") / BLOCK).cast("int"), "spread": F.xxhash64("id")})
+    queries = member.filter("comp <> main").select("id", "comp", "cluster", F.lit(0).alias("side"), F.pmod("spread", "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("bo"))
+    others = member.select("id", "comp", "cluster", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), F.pmod("spread", "no").cast("int").alias("bo"))
+    whole = reps.join(member.select("id"), "id", "left_semi").join(texts, "id")
+    rows = queries.union(others).join(whole, "id")
+    parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "cluster", "bq", "bo").sortWithinPartitions("cluster", "bq", "bo")
+    return cut(rows.mapInArrow(_blocks(k, percent, limit), "a long, b long"), "near-links")
 
 
 def link(docs: DataFrame, sigs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -135,39 +198,33 @@ def link(docs: DataFrame, sigs: DataFrame, k: int, percent: int, doc_id: str = "
     full = sigs.filter("n_shingles > 0 and id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = cut(full.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", "h1", "h2"]).select("id", "bands", "odd"), "near-reps")
-    sketches = reps.select("id", "odd")
     rows = reps.select("id", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     rows = cut(rows.join(several, "key", "left_semi"), "near-buckets")
     texts = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    comp: DataFrame | None = None
-    edges: DataFrame | None = None
-    tested: DataFrame | None = None
-    for step in range(MAX_ROUNDS + 1):
+    comp = edges = tested = None
+    for step in range(ROUNDS_OF_STARS + 1):
         now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp, rows["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+        # hashes of (id, round) choose the representatives, alike in all buckets, so that they coincide
         order = F.xxhash64("id", F.lit(step)) if step else F.col("id")
         groups = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "id")).alias("one"))
-        heads = groups.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.min(F.struct("one.o", "one.id", "comp")).alias("head"))
-        heads = cut(heads.filter("comps > 1").select("key", "n", "nn", F.col("head.id").alias("head"), F.col("head.comp").alias("head_comp")), "near-heads")
-        left = heads.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not left["rows"]:
+        heads = groups.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("c"), "one.id")).alias("head")).filter("comps > 1")
+        heads = cut(heads.select("key", F.col("head.id").alias("head"), (-F.col("head.c")).alias("head_comp")), "near-heads")
+        if heads.isEmpty():
             break
-        last = step == MAX_ROUNDS or left["pairs"] <= FULL_PAIRS_PER_ROW * left["rows"]
-        if last:
-            act = now.join(heads.select("key"), "key", "left_semi")
-            x, y = act.select("key", F.col("id").alias("x"), F.col("comp").alias("cx")), act.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-            pairs = x.join(y, "key").filter("cx < cy").select("x", "y")
+        if step == ROUNDS_OF_STARS:
+            found = _rest(now, heads, reps, texts, k, percent, limit)
         else:
-            pairs = now.join(heads, "key").filter("comp <> head_comp").select(F.col("head").alias("x"), F.col("id").alias("y"))
-        todo = _pairs(sketches, tested, pairs, limit, "near-pairs")
-        tested = todo if tested is None else tested.union(todo)
-        one = todo.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        found = cut(two.mapInArrow(_confirm(k, percent), "a long, b long"), "near-links")
+            p = now.join(heads, "key").filter("comp <> head_comp").select("id", "head").distinct()
+            if tested is not None:
+                p = p.join(tested, (F.col("id") == F.col("b")) & (F.col("head") == F.col("a")), "left_anti")
+            p = p.join(reps.select("id", F.col("odd").alias("ox")), "id").join(reps.select(F.col("id").alias("head"), F.col("odd").alias("oy")), "head")
+            best = p.select("id", "head", _differences("ox", "oy").alias("d")).filter(F.col("d") <= limit).groupBy("id").agg(F.min(F.struct("d", "head")).alias("best"))
+            todo = cut(best.select(F.col("best.head").alias("a"), F.col("id").alias("b")), "near-pairs")
+            tested = todo if tested is None else tested.union(todo)
+            found = _confirmed(todo, texts, k, percent)
         edges = found if edges is None else edges.union(found)
         comp = cut(components(edges, "near-components"), "near-components")
-        if last:
-            break
     if comp is None:
         comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     return classes, comp
