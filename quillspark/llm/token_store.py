@@ -18,7 +18,9 @@ content; null ids come first. An empty table gives an empty store; extra columns
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -40,6 +42,7 @@ _PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: Byte-level vocabularies write a byte as itself if it is printable in Latin-1, else as 256 and up in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+_MARKS = frozenset(".,;:!?")
 #: Fixed value: the splitting pattern of byte-level vocabularies of this kind.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _GEAR = mix(np.arange(1 << 16, dtype=U64) + U64(77))
@@ -69,6 +72,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u4" if wide or self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        if sys.byteorder != "little":
+            raise ValueError("ids are written as little-endian integers")
         self.pattern = regex.compile(public_pattern(self.tokenizer))
         self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -88,19 +93,31 @@ class WordEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encodes new pieces: the tokenizer's own splitting, then its model on each part of a piece."""
-        parts, split, tokenize = self.parts, self.pattern.findall, self.tokenizer.model.tokenize
+        parts, tokenize, code = self.parts, self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         if len(parts) > WORD_CACHE:
             parts.clear()
         for p in pieces:
             out = b""
-            for x in split(p):
+            for x in self._split(p):
                 got = parts.get(x)
                 if got is None:
-                    raw = x.translate(_BYTE_CHARS) if x.isascii() else "".join([_BYTE_CHARS.get(b, chr(b)) for b in x.encode()])
-                    got = parts[x] = np.array([t.id for t in tokenize(raw)], self.dtype).tobytes()
+                    if x.isascii() and x.isprintable():
+                        raw = x.replace(" ", _BYTE_CHARS[32])
+                    else:
+                        raw = "".join([_BYTE_CHARS.get(b, chr(b)) for b in x.encode()])
+                    got = parts[x] = array(code, [t.id for t in tokenize(raw)]).tobytes()
                 out += got
             self.known[p] = out
 
+    def _split(self, piece: str) -> list[str]:
+        """What the pattern finds; words and words with a mark behind need no search."""
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha():
+            return [piece]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [piece[:-1], word[-1]]
+        return self.pattern.findall(piece)
+
 
 def chunk_cuts(ids: np.ndarray) -> list[int]:
     """End positions of the chunks: where the rolling hash of SPAN ids has its low bits zero."""
