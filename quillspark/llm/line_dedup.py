@@ -6,13 +6,14 @@ Jaccard similarity of at least ``percent``/100, which includes every repetition
 
 The join: the words of a set are ordered from rare to frequent, by counts of all lines folded into a
 table of fixed size (any order is exact; a rare-first one is fast). Two sets of that similarity share
-a word among their first n - ceil(t n) + 1 words (prefix filter), differ in size by at most the
-factor t (length filter), and the words left after the shared one must suffice (positional filter).
-Candidates are verified on the whole sets of their lines.
+at least s = ``SHARED`` words (fewer for short lines) among their first n - ceil(t n) + s words (prefix
+filter), differ in size by at most the factor t (length filter), and the words shared there and those
+left after the last of them must suffice (positional filter). Candidates are verified on the whole sets of their lines.
 
 A class needs one earlier match only. So each prefix word first offers its earliest class to all others,
-which settles large groups of near copies at about one test a line; then every class that is left
-meets all earlier candidates. Nothing is capped.
+and a class is tested against the one that it shares most prefix words with, which settles large groups
+of near copies at about one test a line; then every class that is left meets all earlier candidates.
+Nothing is capped.
 
 Lines without words are kept and match nothing. Null and empty texts have no lines with words. Rows with
 the same doc_id share its places: equal rows count as one, and go or stay together. Rows with a null
@@ -30,15 +31,20 @@ from pyspark.sql import types as T
 
 from .common import U64, cut, doc_chunks, mix, pick, small_batches, utf8, word_hashes
 
-COUNT_BITS = 20
+COUNT_BITS, SHARED = 20, 3
 #: Rows up to which the needed lines or decisions are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 FIRST_SEED, SECOND_SEED = U64(0x243F6A8885A308D3), U64(0x13198A2E03707345)
 
 
-def prefix_length(n, percent: int):
-    """n - ceil(percent n / 100) + 1, for numbers or arrays."""
-    return n - (n * percent + 99) // 100 + 1
+def least_overlap(n, percent: int):
+    """ceil(percent n / 100): what a set of n words must share with any match."""
+    return (n * percent + 99) // 100
+
+
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    least = least_overlap(n, percent)
+    return n - least + np.minimum(SHARED, least)
 
 
 def _words_by_line(texts: list[bytes]):
@@ -146,9 +152,8 @@ def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     entries = heads.select("id", "line", "n", F.posexplode("prefix").alias("pos", "word"))
     shared = entries.groupBy("word").agg(F.count("*").alias("c")).filter("c > 1").select("word")
     entries = cut(entries.join(shared, "word", "left_semi"), "line-prefixes")
-    # the words still to come, the shared one included, must hold the overlap that the threshold asks for
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("x_n")) / (100 + percent))
-    fits = (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & (F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= need)
+    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
     earlier = (F.col("x_id") < F.col("id")) | ((F.col("x_id") == F.col("id")) & (F.col("x_line") < F.col("line")))
     other = entries.select("word", F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
     first = entries.groupBy("word", "n").agg(F.min(F.struct("id", "line", "pos")).alias("f"))
@@ -163,10 +168,15 @@ def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
         xy = y.join(text.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("text_x")), ["x_id", "x_line"])
         return cut(xy.select(*keys, "text_x", "text_y").mapInArrow(_verify(percent), "id long, line int, x_id long, x_line int"), f"{name}-links")
 
-    one = confirmed(entries.join(first, "word").filter(earlier & fits), "line-first")
+    offered = entries.join(first, "word").filter(earlier & alike).groupBy(*keys).agg(F.count("*").alias("c"))
+    nearest = offered.groupBy("id", "line").agg(F.max(F.struct("c", (-F.col("x_id")).alias("d"), F.col("x_line"))).alias("x"))
+    one = confirmed(nearest.select("id", "line", (-F.col("x.d")).alias("x_id"), F.col("x.x_line").alias("x_line")), "line-first")
     settled = one.select("id", "line").distinct()
     rest = entries.join(settled, ["id", "line"], "left_anti")
-    pairs = rest.join(other, "word").filter(earlier & fits).select(*keys).distinct().join(one.select(*keys), keys, "left_anti")
+    met = rest.join(other, "word").filter(earlier & alike).groupBy(*keys, "n", "x_n").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("x_pos").alias("q"))
+    least = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.least("n", "x_n") / 100))
+    enough = (F.col("c") >= least) & (F.col("c") + F.least(F.col("n") - F.col("p"), F.col("x_n") - F.col("q")) - 1 >= need)
+    pairs = met.filter(enough).select(*keys).join(one.select(*keys), keys, "left_anti")
     two = confirmed(pairs, "line-rest")
     found = one.union(two).groupBy("id", "line").agg(F.min(F.struct("x_id", "x_line")).alias("match"))
     found = found.select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.col("match.x_id").alias("match_id"), F.col("match.x_line").alias("match_line"))
