@@ -168,13 +168,13 @@ def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
         xy = y.join(text.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("text_x")), ["x_id", "x_line"])
         return cut(xy.select(*keys, "text_x", "text_y").mapInArrow(_verify(percent), "id long, line int, x_id long, x_line int"), f"{name}-links")
 
-    offered = entries.join(first, "word").filter(earlier & alike).groupBy(*keys).agg(F.count("*").alias("c"))
+    least = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.least("n", "x_n") / 100))
+    offered = entries.join(first, "word").filter(earlier & alike).groupBy(*keys, "n", "x_n").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
     nearest = offered.groupBy("id", "line").agg(F.max(F.struct("c", (-F.col("x_id")).alias("d"), F.col("x_line"))).alias("x"))
     one = confirmed(nearest.select("id", "line", (-F.col("x.d")).alias("x_id"), F.col("x.x_line").alias("x_line")), "line-first")
     settled = one.select("id", "line").distinct()
     rest = entries.join(settled, ["id", "line"], "left_anti")
     met = rest.join(other, "word").filter(earlier & alike).groupBy(*keys, "n", "x_n").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("x_pos").alias("q"))
-    least = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.least("n", "x_n") / 100))
     enough = (F.col("c") >= least) & (F.col("c") + F.least(F.col("n") - F.col("p"), F.col("x_n") - F.col("q")) - 1 >= need)
     pairs = met.filter(enough).select(*keys).join(one.select(*keys), keys, "left_anti")
     two = confirmed(pairs, "line-rest")
