@@ -17,7 +17,10 @@ ORACLES: dict[str, str] = {}
 #: Invented rulebook that matches the tables' prose: (name, pattern).
 RULES = [("the_noun", r"\bthe [a-z]+"), ("in_noun", r"\bin [a-z]+"), ("and_noun", r"\band [a-z]+")]
 GENERIC, SPECIFIC = [("the", r"\bthe th[a-z]+")], [("of", r"\bof in[a-z]*")]
-COUNT = F.count(F.lit(1))
+
+
+def count():
+    return F.count(F.lit(1))
 
 
 def query(sql: str | None = None):
@@ -69,7 +72,7 @@ def src09_scrape_html(t):
 
 @query("SELECT source AS category, count(*) AS n, CAST(max(length(left(text, 32767))) AS BIGINT) AS longest FROM documents GROUP BY source")
 def snk05_by_category(t):
-    return t("documents").groupBy(F.col("source").alias("category")).agg(COUNT.alias("n"), F.max(F.length(F.left("text", F.lit(32767)))).cast("bigint").alias("longest"))
+    return t("documents").groupBy(F.col("source").alias("category")).agg(count().alias("n"), F.max(F.length(F.left("text", F.lit(32767)))).cast("bigint").alias("longest"))
 
 
 # scalar functions
@@ -214,7 +217,7 @@ def flt08_facets(t):
 @query("SELECT user_id, bool_or(event_type = 'purchase') AS any_, bool_and(event_type = 'purchase') AS all_, count(*) FILTER (event_type = 'purchase') * 2 > count(*) AS most FROM events GROUP BY user_id")
 def flt09_criterion(t):
     hit = F.col("event_type") == "purchase"
-    return t("events").groupBy("user_id").agg(F.bool_or(hit).alias("any_"), F.bool_and(hit).alias("all_"), (F.count_if(hit) * 2 > COUNT).alias("most"))
+    return t("events").groupBy("user_id").agg(F.bool_or(hit).alias("any_"), F.bool_and(hit).alias("all_"), (F.count_if(hit) * 2 > count()).alias("most"))
 
 
 # segmentation
@@ -309,7 +312,7 @@ FROM r JOIN o c ON c.id = r.child LEFT JOIN ix ON ix.type = r.type AND ix.identi
 
 @query(_RESOLVED + " SELECT status, count(*) AS n FROM x GROUP BY status")
 def ref05_resolution(t):
-    return _citations(t).groupBy("status").agg(COUNT.alias("n"))
+    return _citations(t).groupBy("status").agg(count().alias("n"))
 
 
 @query(_RESOLVED + " SELECT child, parent, relation, min(start) AS start FROM x WHERE status = 'edge' GROUP BY ALL")
@@ -330,7 +333,7 @@ def ref08_unresolved(t):
 UNION ALL SELECT doc_id, 3, 'and_noun', unnest(regexp_extract_all(text, '\\band [a-z]+')) FROM documents) SELECT doc_id, rule, m AS match, count(*) AS n FROM m GROUP BY ALL""")
 def cls01_find_matches(t):
     x = t("documents").select("doc_id", F.explode(rules.find_matches(F.col("text"), RULES)).alias("m"))
-    return x.groupBy("doc_id", F.col("m.rule").alias("rule"), F.col("m.text").alias("match")).agg(COUNT.alias("n"))
+    return x.groupBy("doc_id", F.col("m.rule").alias("rule"), F.col("m.text").alias("match")).agg(count().alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN text = '' THEN 'no_vesting_clause' WHEN regexp_matches(text, '\\bthe th[a-z]+') AND NOT regexp_matches(text, '\\bof in[a-z]*') THEN 'generic' ELSE 'specific' END AS kind FROM documents")
@@ -396,26 +399,26 @@ def jon09_status(t):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def agg01_count(t):
-    return t("events").groupBy("event_type").agg(COUNT.alias("n"))
+    return t("events").groupBy("event_type").agg(count().alias("n"))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, round(count(*) FILTER (event_type = 'click') / nullif(count(*), 0), 6) AS share FROM events GROUP BY user_id")
 def agg02_share(t):
     hit = F.count_if(F.col("event_type") == "click")
-    return t("events").groupBy("user_id").agg(hit.alias("clicks"), r6(hit / F.nullif(COUNT, F.lit(0)), "share"))
+    return t("events").groupBy("user_id").agg(hit.alias("clicks"), r6(hit / F.nullif(count(), F.lit(0)), "share"))
 
 
 @query("SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, length(text) > 1500 AS long, count(*) AS n FROM documents GROUP BY CUBE (source, lang), length(text) > 1500")
 def agg03_cube(t):
     # the few groups of the finest level are cubed, not the rows
-    fine = t("documents").groupBy("source", "lang", (F.length("text") > 1500).alias("long")).agg(COUNT.alias("n"))
+    fine = t("documents").groupBy("source", "lang", (F.length("text") > 1500).alias("long")).agg(count().alias("n"))
     each = F.explode(F.array(*[F.struct(s.alias("s"), v.alias("v")) for s in (F.col("source"), F.lit("total")) for v in (F.col("lang"), F.lit("all"))]))
     return fine.select(each.alias("e"), "long", "n").groupBy(F.col("e.s").alias("source"), F.col("e.v").alias("lang"), "long").agg(F.sum("n").alias("n"))
 
 
 @query("WITH k AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n FROM lineitem GROUP BY ALL), f AS (SELECT DISTINCT f FROM k), s AS (SELECT DISTINCT s FROM k) SELECT f.f, s.s, coalesce(CAST(n AS BIGINT), 0) AS n FROM f CROSS JOIN s LEFT JOIN k ON k.f = f.f AND k.s = s.s UNION ALL SELECT 'all', s, CAST(sum(n) AS BIGINT) FROM k GROUP BY s")
 def agg04_dense_sets(t):
-    k = t("lineitem").groupBy(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")).agg(COUNT.alias("n"))
+    k = t("lineitem").groupBy(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")).agg(count().alias("n"))
     domain = k.select("f").distinct().crossJoin(k.select("s").distinct())  # two short domains
     dense = domain.join(k, ["f", "s"], "left").select("f", "s", F.coalesce("n", F.lit(0)).alias("n"))
     return dense.union(k.groupBy("s").agg(F.sum("n").alias("n")).select(F.lit("all"), "s", "n"))
@@ -424,12 +427,12 @@ def agg04_dense_sets(t):
 @query("WITH a AS (SELECT l_orderkey, round(sum(l_quantity), 6) AS q FROM lineitem GROUP BY 1) SELECT count(*) AS n FROM a FULL JOIN (SELECT o_orderkey FROM orders) o ON l_orderkey = o_orderkey WHERE l_orderkey IS NULL OR o_orderkey IS NULL")
 def agg05_reconciliation(t):
     a, o = t("lineitem").select("l_orderkey").distinct(), t("orders").select("o_orderkey")
-    return a.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "full").filter("l_orderkey is null or o_orderkey is null").agg(COUNT.alias("n"))
+    return a.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "full").filter("l_orderkey is null or o_orderkey is null").agg(count().alias("n"))
 
 
 @query("SELECT coalesce(l_returnflag, 'total') AS flag, count(*) FILTER (l_linestatus = 'F') AS f, count(*) FILTER (l_linestatus = 'O') AS o, count(*) AS total FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def agg06_crosstab(t):
-    x = t("lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_linestatus") == "O").alias("o"), COUNT.alias("total"))
+    x = t("lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_linestatus") == "O").alias("o"), count().alias("total"))
     return x.rollup("l_returnflag").agg(*[F.sum(c).alias(c) for c in ("f", "o", "total")]).select(F.coalesce("l_returnflag", F.lit("total")).alias("flag"), "f", "o", "total")
 
 
@@ -443,7 +446,7 @@ def agg07_summary(t):
 def agg08_dense_counts(t):
     c = t("conversations")
     roles = c.select("role").distinct()
-    n = c.select("conv_id").distinct().crossJoin(F.broadcast(roles)).join(c.groupBy("conv_id", "role").agg(COUNT.alias("k")), ["conv_id", "role"], "left")  # a few roles
+    n = c.select("conv_id").distinct().crossJoin(F.broadcast(roles)).join(c.groupBy("conv_id", "role").agg(count().alias("k")), ["conv_id", "role"], "left")  # a few roles
     n = n.withColumn("k", F.coalesce("k", F.lit(0)))
     return n.groupBy("role").agg(F.min("k").alias("min"), r6(F.avg("k"), "mean"), F.max("k").alias("max"))
 
@@ -489,7 +492,7 @@ def agg17_majority(t):
 def agg19_missing_causes(t):
     d, l = t("documents").select(F.col("doc_id").alias("d")), t("labels").select(F.col("doc_id").alias("l"))
     cause = F.when(F.col("d").isNull(), "labels_only").when(F.col("l").isNull(), "documents_only").otherwise("both")
-    return d.join(l, F.col("d") == F.col("l"), "full").groupBy(cause.alias("cause")).agg(COUNT.alias("n"))
+    return d.join(l, F.col("d") == F.col("l"), "full").groupBy(cause.alias("cause")).agg(count().alias("n"))
 
 
 @query("SELECT l_returnflag, round(sum(l_quantity), 4) AS weight, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS share FROM lineitem GROUP BY l_returnflag")
@@ -506,12 +509,12 @@ def agg21_distinct(t):
 @query("SELECT count(*) AS documents, count(l.doc_id) AS labelled, count(*) FILTER (l.quality = 1) AS good, count(*) FILTER (l.quality = 1 AND l.toxic = 0) AS clean FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def agg22_funnel(t):
     x = t("documents").select("doc_id").join(t("labels"), "doc_id", "left")
-    return x.agg(COUNT.alias("documents"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"))
+    return x.agg(count().alias("documents"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"))
 
 
 @query("SELECT o_orderpriority, round(100.0 * count(*) FILTER (o_orderstatus IN ('F','P')) / nullif(count(*), 0), 6) AS percent FROM orders GROUP BY o_orderpriority")
 def agg23_percent(t):
-    return t("orders").groupBy("o_orderpriority").agg(r6(100.0 * F.count_if(F.col("o_orderstatus").isin("F", "P")) / F.nullif(COUNT, F.lit(0)), "percent"))
+    return t("orders").groupBy("o_orderpriority").agg(r6(100.0 * F.count_if(F.col("o_orderstatus").isin("F", "P")) / F.nullif(count(), F.lit(0)), "percent"))
 
 
 # windows
@@ -633,7 +636,7 @@ def sim09_top1_agreement(t):
     v = t("embeddings").select("vec_id", "label")
     w = Window.partitionBy("label").orderBy("vec_id")
     b = v.select(F.col("vec_id").alias("id"), F.lag("vec_id").over(w).alias("b")).filter("b is not null")
-    return a.join(b, "id").agg(COUNT.alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    return a.join(b, "id").agg(count().alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
 # samples
@@ -687,7 +690,7 @@ def sta05_weighted_interval(t):
 @query("SELECT user_id, CASE WHEN count(event_type) < count(*) THEN 'incomplete' WHEN count(DISTINCT event_type) > 1 THEN 'disagree' ELSE 'agree' END AS status FROM events GROUP BY user_id")
 def sta10_unit_status(t):
     kind = F.col("event_type")
-    return t("events").groupBy("user_id").agg(F.when(F.count(kind) < COUNT, "incomplete").when(F.countDistinct(kind) > 1, "disagree").otherwise("agree").alias("status"))
+    return t("events").groupBy("user_id").agg(F.when(F.count(kind) < count(), "incomplete").when(F.countDistinct(kind) > 1, "disagree").otherwise("agree").alias("status"))
 
 
 @query("SELECT conv_id, bool_or(role = 'system') AS any_system, max(CASE WHEN role = 'user' THEN length(text) END) AS longest FROM conversations GROUP BY conv_id")
