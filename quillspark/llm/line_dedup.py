@@ -5,15 +5,17 @@ with equal sets are one class, whose place is its first. A line is removed if an
 Jaccard similarity of at least ``percent``/100, which includes every repetition of a class.
 
 The join: the words of a set are ordered from rare to frequent, by counts of all lines folded into a
-table of fixed size (any order is exact; a rare-first one is fast). Two sets of that similarity share
-at least s = ``SHARED`` words (fewer for short lines) among their first n - ceil(t n) + s words (prefix
-filter), differ in size by at most the factor t (length filter), and the words shared there and those
-left after the last of them must suffice (positional filter). Candidates are verified on the whole sets of their lines.
-
-A class needs one earlier match only. So each prefix word first offers its earliest class to all others,
-and a class is tested against the one that it shares most prefix words with, which settles large groups
-of near copies at about one test a line; then every class that is left meets all earlier candidates.
-Nothing is capped.
+table of fixed size (any order is exact; a rare-first one is fast). Two sets of that similarity share a
+word among their first n - ceil(t n) + 1 (prefix filter), differ in size by at most the factor t (length
+filter), and the words left after the first shared one must suffice (positional filter). A parity bitmap
+of the words bounds the overlap from above (bitmap filter: an element in one set only flips one bit), so
+that unlike pairs end inside the join. Candidates are verified on the whole sets of their lines. Words
+that occur once in the corpus are no prefix entries, as no other line has them.
+
+A class needs one earlier match only. So each prefix word first offers the earliest class of each size to
+all others, and a class is tested against the nearest offered, which settles large groups of near copies
+at about one test a line. Classes still open, which had another offer or share a word with a size of which
+only the earliest was offered, then meet all earlier entries of such words. Nothing is capped.
 
 Lines without words are kept and match nothing. Null and empty texts have no lines with words. Rows with
 the same doc_id share its places: equal rows count as one, and go or stay together. Rows with a null
@@ -31,10 +33,11 @@ from pyspark.sql import types as T
 
 from .common import U64, cut, doc_chunks, mix, pick, small_batches, utf8, word_hashes
 
-COUNT_BITS, SHARED = 20, 3
+COUNT_BITS = 20
+PAIR = ["id", "line", "x_id", "x_line"]
 #: Rows up to which the needed lines or decisions are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-FIRST_SEED, SECOND_SEED = U64(0x243F6A8885A308D3), U64(0x13198A2E03707345)
+FIRST_SEED, SECOND_SEED, BIT_SEED = U64(0x243F6A8885A308D3), U64(0x13198A2E03707345), U64(0xA4093822299F31D0)
 
 
 def least_overlap(n, percent: int):
@@ -43,8 +46,7 @@ def least_overlap(n, percent: int):
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    least = least_overlap(n, percent)
-    return n - least + np.minimum(SHARED, least)
+    return n - least_overlap(n, percent) + 1
 
 
 def _words_by_line(texts: list[bytes]):
@@ -76,7 +78,7 @@ def _rank(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 def _lines(ranks, percent: int):
     def run(batches):
-        order = ranks.value
+        order, once = ranks.value
         for batch in batches:
             ids = np.array(batch.column("id").to_pylist(), np.int64)
             for a, text, line, h in _words_by_line(utf8(batch.column("text"), lower=True)):
@@ -91,13 +93,16 @@ def _lines(ranks, percent: int):
                 begin = np.flatnonzero(new_line)
                 n = np.diff(np.append(begin, len(r)))
                 s1, s2 = np.add.reduceat(mix(r ^ FIRST_SEED), begin), np.add.reduceat(mix(r ^ SECOND_SEED), begin)
-                keep = prefix_length(n, percent)
+                bit = mix(r ^ BIT_SEED) & U64(127)
+                flag = U64(1) << (bit & U64(63))
+                b1, b2 = (np.bitwise_xor.reduceat(np.where(half, flag, U64(0)), begin) for half in (bit < 64, bit >= 64))
+                alone = np.add.reduceat(((r >> U64(44)) < once).astype(np.int64), begin)  # they come first in their lines
+                keep = np.maximum(prefix_length(n, percent) - alone, 0)
                 ends = np.cumsum(keep)
-                within = np.arange(ends[-1]) - np.repeat(ends - keep, keep)
-                prefix = r[np.repeat(begin, keep) + within]
+                prefix = r[np.repeat(begin + alone, keep) + np.arange(ends[-1]) - np.repeat(ends - keep, keep)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(prefix.view(np.int64)))
-                cols = [pa.array(ids[a + text[begin]]), pa.array(line[begin].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "line", "n", "s1", "s2", "prefix"])
+                cols = [pa.array(ids[a + text[begin]])] + [pa.array(x.astype(np.int32)) for x in (line[begin], n)] + [pa.array(x.view(np.int64)) for x in (s1, s2, b1, b2)] + [pa.array(alone.astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "line", "n", "s1", "s2", "b1", "b2", "skip", "prefix"])
 
     return run
 
@@ -129,8 +134,29 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """id, line, text of the lines at the places."""
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.join(_small(places), ["id", "line"], "left_semi").dropDuplicates(["id", "line"])
+    wanted = cut(places.groupBy("id").agg(F.collect_set("line").alias("wanted")), "line-wanted")
+    d = docs.join(_small(wanted), "id").select("id", "wanted", F.split("text", "\n").alias("lines"))
+    one = d.select("id", F.explode("wanted").alias("line"), "lines").filter("line < size(lines)")
+    return one.select("id", "line", F.col("lines")[F.col("line")].alias("text")).dropDuplicates(["id", "line"])
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (id, line, x_id, x_line), distinct and stored, whose lines' whole sets are similar."""
+    x = pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"))
+    text = cut(_texts(docs, pairs.select("id", "line").union(x)), f"{name}-texts")
+    y = pairs.join(text.withColumnRenamed("text", "text_y"), ["id", "line"])
+    xy = y.join(text.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("text_x")), ["x_id", "x_line"])
+    return cut(xy.select(*PAIR, "text_x", "text_y").mapInArrow(_verify(percent), "id long, line int, x_id long, x_line int"), f"{name}-links")
+
+
+def _ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The place of each slot of the count table from rare to frequent, and how many slots count at most one word."""
+    slots = docs.select("text").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^COUNT_BITS rows
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    place = np.empty(len(counts), np.int32)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    return place, int((counts <= 1).sum())
 
 
 def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -140,47 +166,47 @@ def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    slots = docs.select("text").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^COUNT_BITS rows
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    place = np.empty(len(counts), np.int32)
-    place[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
-    ranks = spark.sparkContext.broadcast(place)  # 4 MB, whatever the input
-    lines = cut(docs.mapInArrow(_lines(ranks, percent), "id long, line int, n int, s1 long, s2 long, prefix array<long>"), "line-sets")
+    ranks = spark.sparkContext.broadcast(_ranks(docs))  # 4 MB, whatever the input
+    lines = cut(docs.mapInArrow(_lines(ranks, percent), "id long, line int, n int, s1 long, s2 long, b1 long, b2 long, skip int, prefix array<long>"), "line-sets")
     classes = cut(lines.groupBy("n", "s1", "s2").agg(F.min(F.struct("id", "line")).alias("first")).select("n", "s1", "s2", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line")), "line-classes")
-    heads = lines.join(classes.select("n", "s1", "s2", F.col("first_id").alias("id"), F.col("first_line").alias("line")), ["n", "s1", "s2", "id", "line"], "left_semi").dropDuplicates(["id", "line"])
-    entries = heads.select("id", "line", "n", F.posexplode("prefix").alias("pos", "word"))
-    shared = entries.groupBy("word").agg(F.count("*").alias("c")).filter("c > 1").select("word")
-    entries = cut(entries.join(shared, "word", "left_semi"), "line-prefixes")
-    need = F.ceil(F.lit(percent) * (F.col("n") + F.col("x_n")) / (100 + percent))
-    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
+    firsts = classes.select(F.col("first_id").alias("id"), F.col("first_line").alias("line"))
+    heads = cut(lines.filter("size(prefix) > 0").join(firsts, ["id", "line"], "left_semi").dropDuplicates(["id", "line"]).drop("s1", "s2"), "line-heads")
+
+    def entries() -> DataFrame:
+        e = heads.select("id", "line", "n", "b1", "b2", "skip", F.posexplode("prefix").alias("pos", "word"))
+        return e.select("word", "id", "line", "n", (F.col("skip") + F.col("pos")).alias("pos"), "b1", "b2")
+
+    def others(e: DataFrame) -> DataFrame:
+        return e.select("word", *[F.col(c).alias(f"x_{c}") for c in ("id", "line", "n", "pos", "b1", "b2")])
+
+    both, fit = F.col("n") + F.col("x_n"), 100 + percent
     earlier = (F.col("x_id") < F.col("id")) | ((F.col("x_id") == F.col("id")) & (F.col("x_line") < F.col("line")))
-    other = entries.select("word", F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
-    first = entries.groupBy("word", "n").agg(F.min(F.struct("id", "line", "pos")).alias("f"))
-    first = first.select("word", F.col("f.id").alias("x_id"), F.col("f.line").alias("x_line"), F.col("n").alias("x_n"), F.col("f.pos").alias("x_pos"))
-    keys = ["id", "line", "x_id", "x_line"]
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = cut(pairs.select(*keys).distinct(), f"{name}-pairs")
-        places = pairs.select("id", "line").union(pairs.select("x_id", "x_line")).distinct()
-        text = cut(_texts(docs, cut(places, f"{name}-places")), f"{name}-texts")
-        y = pairs.join(text.withColumnRenamed("text", "text_y"), ["id", "line"])
-        xy = y.join(text.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("text_x")), ["x_id", "x_line"])
-        return cut(xy.select(*keys, "text_x", "text_y").mapInArrow(_verify(percent), "id long, line int, x_id long, x_line int"), f"{name}-links")
-
-    least = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.least("n", "x_n") / 100))
-    offered = entries.join(first, "word").filter(earlier & alike).groupBy(*keys, "n", "x_n").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
-    nearest = offered.groupBy("id", "line").agg(F.max(F.struct("c", (-F.col("x_id")).alias("d"), F.col("x_line"))).alias("x"))
-    one = confirmed(nearest.select("id", "line", (-F.col("x.d")).alias("x_id"), F.col("x.x_line").alias("x_line")), "line-first")
-    settled = one.select("id", "line").distinct()
-    rest = entries.join(settled, ["id", "line"], "left_anti")
-    met = rest.join(other, "word").filter(earlier & alike).groupBy(*keys, "n", "x_n").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("x_pos").alias("q"))
-    enough = (F.col("c") >= least) & (F.col("c") + F.least(F.col("n") - F.col("p"), F.col("x_n") - F.col("q")) - 1 >= need)
-    pairs = met.filter(enough).select(*keys).join(one.select(*keys), keys, "left_anti")
-    two = confirmed(pairs, "line-rest")
+    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
+    positions = F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) * fit >= percent * both
+    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("x_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("x_b2")))
+    possible = earlier & alike & positions & ((both - apart) * fit >= 2 * percent * both)
+
+    dealt = entries().repartition("word")
+    sizes = dealt.groupBy("word", "n").agg(F.count("*").alias("g"), F.min(F.struct("id", "line", "pos", "b1", "b2")).alias("f"))
+    offer = others(sizes.select("word", "n", "f.id", "f.line", "f.pos", "f.b1", "f.b2"))
+    offered = dealt.join(offer, "word").filter(possible).select("id", "line", "x_id", "x_line", apart.alias("apart"))
+    nearest = offered.groupBy("id", "line").agg(F.min(F.struct("apart", "x_id", "x_line")).alias("x"))
+    crowds = sizes.filter("g > 1").select(*[F.lit(None).cast(t).alias(c) for c, t in zip(PAIR, ("long", "int", "long", "int"), strict=True)], "word")
+    step = cut(nearest.select("id", "line", "x.x_id", "x.x_line", F.lit(None).cast("long").alias("word")).union(crowds), "line-offers")
+    tested = step.filter("word is null").select(*PAIR)
+    one = _confirmed(docs, tested, percent, "line-first")
+    settled = one.select("id", "line")
+    unsure = tested.select("id", "line").join(_small(settled), ["id", "line"], "left_anti")
+    words = step.filter("word is not null").select("word").union(heads.join(_small(unsure), ["id", "line"], "left_semi").select(F.explode("prefix").alias("word")))
+    words = cut(words.distinct(), "line-words")
+    rest = entries().join(_small(settled), ["id", "line"], "left_anti").join(_small(words), "word", "left_semi")
+    other = others(entries().join(_small(words), "word", "left_semi"))
+    met = rest.join(other, "word").filter(possible).select(*PAIR).distinct()
+    pairs = cut(met.join(_small(tested), PAIR, "left_anti"), "line-pairs")
+    two = _confirmed(docs, pairs, percent, "line-rest")
     found = one.union(two).groupBy("id", "line").agg(F.min(F.struct("x_id", "x_line")).alias("match"))
     found = found.select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.col("match.x_id").alias("match_id"), F.col("match.x_line").alias("match_line"))
-    return lines.drop("prefix").join(classes, ["n", "s1", "s2"]), cut(found, "line-matches")
+    return lines.select("id", "line", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]), cut(found, "line-matches")
 
 
 def removals(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
