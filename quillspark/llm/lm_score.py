@@ -19,17 +19,18 @@ rows count and are scored row by row. An empty table gives an empty result. Extr
 
 from __future__ import annotations
 
+import base64
 import math
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lm_model as net
 from .common import U64, cut, doc_chunks, hashed_docs, pick, small_batches, utf8
-from .token_store import WordEncoder
 
 SPAN_WORDS, EVERY = 24, 8
 SHARD_IDS, ROUNDS, PARTS, BATCH, LEAST_STEPS = 400_000, 3, 9, 64, 200
@@ -37,7 +38,8 @@ RATE = 4e-3
 TOP, HELD = 1 << 17, 1 << 20
 SMOOTH, RARE_SMOOTH = 0.1, 0.1
 END_HASH = U64(1)
-HIDDEN_WINDOWS, SCORE_WINDOWS = 64, 1024
+HIDDEN_WINDOWS, SCORE_WINDOWS = 128, 1024
+LONG_WORD, KNOWN_WORDS = 256, 400_000
 
 
 def held_out(c: Column) -> Column:
@@ -45,33 +47,52 @@ def held_out(c: Column) -> Column:
 
 
 class Ids:
-    """Words to subword ids, the end last in the vocabulary."""
-
-    def __init__(self, path: str):
-        self.encoder = WordEncoder(path)
-        self.end = self.encoder.tokenizer.get_vocab_size()
+    """Words to subword ids of a tiktoken vocabulary, the end last; recent words are remembered.
+
+    New words are encoded together, each with a space in front, and cut apart by their bytes: the
+    pattern ends a token at a space. Words over ``LONG_WORD`` code points are encoded in pieces of that length.
+    """
+
+    def __init__(self, vocabulary: tuple[str, str]):
+        path, pattern = vocabulary
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(n) for token, n in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.end = max(ranks.values()) + 1
         if self.end >= 1 << 16:
             raise ValueError("the vocabulary must have under 65,536 ids")
+        self.size = np.zeros(self.end, np.int64)
+        self.size[list(ranks.values())] = [len(token) for token in ranks]
         self.known: dict[bytes, bytes] = {}
         self.last = np.array([self.end], "<u2").tobytes()
 
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [" " + w.decode("utf-8", "replace") for w in words]
+        plain = [(w, t) for w, t in zip(words, texts, strict=True) if len(t) <= LONG_WORD]
+        got = np.array(self.encoding.encode_ordinary("".join([t for _, t in plain])), "<u2")
+        cuts = 2 * (np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(t.encode()) for _, t in plain])) + 1)
+        raw, at = got.tobytes(), 0
+        for (w, _), end in zip(plain, cuts.tolist(), strict=True):
+            self.known[w] = raw[at:end]
+            at = end
+        for w, t in zip(words, texts, strict=True):
+            if len(t) > LONG_WORD:
+                pieces = [self.encoding.encode_ordinary(t[i : i + LONG_WORD]) for i in range(0, len(t), LONG_WORD)]
+                self.known[w] = np.array([x for piece in pieces for x in piece], "<u2").tobytes()
+
     def of(self, words: list[bytes], end: bool = True) -> np.ndarray:
         known = self.known
         try:
             out = [known[w] for w in words]
         except KeyError:
-            if len(known) > 400_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
-            encode = self.encoder.encode
-            for w in set(words):
-                if w not in known:
-                    known[w] = encode(" " + w.decode("utf-8", "replace"))
-                    self.encoder.known.clear()
+            self._learn(list({w for w in words if w not in known}))
             out = [known[w] for w in words]
         return np.frombuffer(b"".join(out) + (self.last if end else b""), "<u2")
 
 
-def _gather(path: str):
+def _gather(vocabulary: tuple[str, str]):
     """Rows of (word hash, count) and of training ids (h null)."""
 
     def counts_batch(parts):
@@ -83,7 +104,7 @@ def _gather(path: str):
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.nulls(len(u), pa.binary())], names=["h", "n", "ids"])
 
     def run(batches):
-        ids, parts, held = Ids(path), [], 0
+        ids, parts, held = Ids(vocabulary), [], 0
         for batch in batches:
             texts = utf8(batch.column("text"), lower=True)
             spans = []
@@ -207,10 +228,10 @@ def train(spans: DataFrame, leaf: np.ndarray, prior: tuple, n_ids: int) -> np.nd
     return flat
 
 
-def _score(path: str, shared):
+def _score(vocabulary: tuple[str, str], shared):
     def run(batches):
         flat, prior, leaf, within, top, logs = shared.value
-        p, ids, task, row = net.views(flat), Ids(path), TaskContext.get().partitionId(), 0
+        p, ids, task, row = net.views(flat), Ids(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = utf8(batch.column("text"), lower=True)
             score = np.zeros(len(texts))
@@ -257,13 +278,16 @@ def _score(path: str, shared):
     return run
 
 
-def score(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
+def score(docs: DataFrame, vocabulary: tuple[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
+
+    vocabulary is the path of a tiktoken file and the pattern that it splits texts by.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     d = pick(docs, doc_id=doc_id, text=text).withColumn("held_out", held_out(F.col("doc_id")))
     shift = F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)).cast("int").alias("shift")
-    got = cut(d.filter("not held_out").select(shift, "text").mapInArrow(_gather(tokenizer), "h long, n long, ids binary"), "lm-gathered")
+    got = cut(d.filter("not held_out").select(shift, "text").mapInArrow(_gather(vocabulary), "h long, n long, ids binary"), "lm-gathered")
     counts = cut(got.filter("h is not null").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, distinct = total["n"] or 0, total["v"]
@@ -271,7 +295,7 @@ def score(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     used = np.zeros(1 << 16, np.int64)
     for r in spans.select("ids").mapInArrow(_id_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # at most 65,536 rows
         used[r["id"]] = r["c"]
-    leaf, within = leaf_table(used, Ids(tokenizer).end + 1)
+    leaf, within = leaf_table(used, Ids(vocabulary).end + 1)
     pairs = np.zeros((net.LEAVES + 2) * (net.LEAVES + 1))
     seen = spans.select("ids").mapInArrow(_pair_counts(leaf), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # a row for a pair of leaves at most
     pairs[seen["id"].to_numpy()] = seen["c"].to_numpy()
@@ -285,7 +309,7 @@ def score(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     shared = spark.sparkContext.broadcast((flat, prior, leaf, within, h[order], logs))
     kind = dict(d.dtypes)["doc_id"]
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, miss array<long>, times array<long>"
-    x = cut(d.select("doc_id", "held_out", "text").mapInArrow(_score(tokenizer, shared), schema), "lm-scored")
+    x = cut(d.select("doc_id", "held_out", "text").mapInArrow(_score(vocabulary, shared), schema), "lm-scored")
     rest = x.select("row", F.explode(F.arrays_zip("miss", "times")).alias("e")).select("row", F.col("e.miss").alias("h"), F.col("e.times").alias("n"))
     rest = rest.join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10((F.col("c") + SMOOTH) / whole)).alias("less"))

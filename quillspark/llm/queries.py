@@ -16,12 +16,19 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def subwords(name: str) -> tuple[str, str]:
+    """A tiktoken file of the public tokenizers and its pattern."""
+    import public_tokenizers
+
+    return tokenizer(name), public_tokenizers.PATTERN
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return lm_score.score(table(spark, sf_dir, "documents"), subwords("byte_bpe_50k.tiktoken"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

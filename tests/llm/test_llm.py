@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import chat, line_dedup, lm_score, mixing, near_dedup, order_minhash, quality, sentencepiece_stream, token_store, warc
 from quillspark.llm.common import hashed_docs
 from quillspark.llm.components import components
-from quillspark.llm.queries import QUERIES, tokenizer
+from quillspark.llm.queries import QUERIES, subwords, tokenizer
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, id string, h1 string, topic string"
@@ -129,14 +129,23 @@ def test_lm_scoring(spark, real):
     tokens = {r["doc_id"]: [w.lower() for w in words(r["text"])] + [None] for r in rows}
     c = Counter(w for k, t in tokens.items() if not held[k] for w in t)
     n, v = sum(c.values()), len(c)
-    out = lm_score.score(d, tokenizer("byte_bpe_50k.json")).collect()
+    out = lm_score.score(d, subwords("byte_bpe_50k.tiktoken")).collect()
     assert len(out) == len(rows)
     for r in out:
         t = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(c[w] > 0 for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel=1e-9)
         assert r["score"] < 0
-    assert lm_score.score(real.limit(0), tokenizer("byte_bpe_50k.json")).count() == 0
+    assert lm_score.score(real.limit(0), subwords("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_lm_ids_of_words():
+    ids = lm_score.Ids(subwords("byte_bpe_50k.tiktoken"))
+    said = [w.encode() for w in ("the", "don't", "x\u00a0", "\u00a0", "\u00a0y", "'s", "a1b", "caf\u00e9", "\U0001f600", "z" * 1000, "the")] + [b"\xff\xfe"]
+    one = [ids.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in said]
+    one[9] = [x for t in (" " + "z" * 255, "z" * 256, "z" * 256, "z" * 233) for x in ids.encoding.encode_ordinary(t)]
+    assert ids.of(said).tolist() == [x for part in one for x in part] + [ids.end]
+    assert ids.of([]).tolist() == [ids.end] and ids.of([], False).tolist() == []
 
 
 def test_lm_probabilities_add_up_and_gradient():
