@@ -19,7 +19,9 @@ SHAPES = {
     "cls": (WIDTH, CLASSES), "cls_b": (CLASSES,), "mem": (CLASSES, WIDTH, MEMBERS), "mem_b": (CLASSES, MEMBERS),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-_MASK = np.triu(np.full((SPAN, SPAN), -1e9, np.float32), 1)
+_PAST = np.tril(np.ones((SPAN, SPAN), np.float32))
+#: Scores up to which exponentials need no shift; larger ones are shifted by their row's largest.
+SAFE = 60.0
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -57,22 +59,34 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def _log_total(z: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials; z is overwritten. A product with ones adds short rows fastest."""
+    np.exp(z, out=z)
+    return np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
 def hidden(p: dict, x: np.ndarray) -> tuple:
-    """States of the windows x (n, SPAN) of leaves, with what the gradients need."""
+    """States of the windows x (n, SPAN) of leaves, with what the gradients need (weights before division by their sums)."""
     n = len(x)
     h0 = p["emb"][x] + p["pos"]
-    q, k, v = np.split((h0.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, SPAN, 3 * WIDTH), 3, axis=2)
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += _MASK
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    z = s @ v
-    h1 = h0 + (z.reshape(-1, WIDTH) @ p["out"]).reshape(n, SPAN, WIDTH)
-    u = np.maximum(h1.reshape(-1, WIDTH) @ p["up"] + p["up_b"], 0)
-    h2 = h1.reshape(-1, WIDTH) + u @ p["down"]
-    return h2, (h0, q, k, v, s, z, h1, u)
+    qkv = (h0.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, SPAN, 3 * WIDTH)
+    q, k = qkv[:, :, :WIDTH] * np.float32(WIDTH**-0.5), qkv[:, :, WIDTH : 2 * WIDTH]
+    v = np.ones((n, SPAN, WIDTH + 1), np.float32)  # the last column adds up the weights
+    v[:, :, :WIDTH] = qkv[:, :, 2 * WIDTH :]
+    e = q @ k.transpose(0, 2, 1)
+    if e.max(initial=0) > SAFE or e.min(initial=0) < -SAFE:
+        e -= np.where(_PAST > 0, e, -np.inf).max(axis=2, keepdims=True)
+        np.minimum(e, 0, out=e)
+    np.exp(e, out=e)
+    e *= _PAST
+    z = e @ v
+    total = z[:, :, WIDTH:]
+    z = z[:, :, :WIDTH] / total
+    h1 = h0.reshape(-1, WIDTH) + z.reshape(-1, WIDTH) @ p["out"]
+    u = h1 @ p["up"]
+    u += p["up_b"]
+    np.maximum(u, 0, out=u)
+    return h1 + u @ p["down"], (h0, qkv, e, total, z, h1, u)
 
 
 def log_probs(p: dict, prior: tuple, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -81,7 +95,7 @@ def log_probs(p: dict, prior: tuple, h: np.ndarray, x: np.ndarray, y: np.ndarray
     z = h @ p["cls"]
     z += p["cls_b"]
     z += prior[0][x]
-    out = z[np.arange(len(y)), c] - np.log(np.exp(z).sum(axis=1))
+    out = z[np.arange(len(y)), c] - _log_total(z)
     order = np.argsort(c.astype(np.int8), kind="stable")
     ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for j in range(CLASSES):
@@ -90,7 +104,7 @@ def log_probs(p: dict, prior: tuple, h: np.ndarray, x: np.ndarray, y: np.ndarray
             z = h[at] @ p["mem"][j]
             z += p["mem_b"][j]
             z += prior[1][x[at], j]
-            out[at] += z[np.arange(len(at)), m[at]] - np.log(np.exp(z).sum(axis=1))
+            out[at] += z[np.arange(len(at)), m[at]] - _log_total(z)
     return out
 
 
@@ -99,7 +113,8 @@ def loss_and_gradient(flat: np.ndarray, prior: tuple, x: np.ndarray, y: np.ndarr
     p, grad = views(flat), np.zeros_like(flat)
     g = views(grad)
     n = len(x)
-    h2, (h0, q, k, v, a, z, h1, u) = hidden(p, x)
+    h2, (h0, qkv, e, total, z, h1, u) = hidden(p, x)
+    (q, k, v), a = np.split(qkv, 3, axis=2), e / total
     flat_y, w = y.ravel(), (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
     c, m = flat_y // MEMBERS, flat_y % MEMBERS
     rows = np.arange(len(flat_y))
@@ -125,8 +140,7 @@ def loss_and_gradient(flat: np.ndarray, prior: tuple, x: np.ndarray, y: np.ndarr
         dh[at] += d @ p["mem"][j].T
     g["down"] += u.T @ dh
     du = (dh @ p["down"].T) * (u > 0)
-    f1 = h1.reshape(-1, WIDTH)
-    g["up"] += f1.T @ du
+    g["up"] += h1.T @ du
     g["up_b"] += du.sum(axis=0)
     dh1 = dh + du @ p["up"].T
     g["out"] += z.reshape(-1, WIDTH).T @ dh1
