@@ -4,10 +4,10 @@ A text is its words (A-Z lower-cased) and one end. Documents whose crc32(doc_id
 train; the others are held out.
 
 * The word counts cover all training texts: each task adds up its own, one exchange adds the tasks'.
-* The model works on subword ids of the words. It learns from a fixed share of all training texts,
-  ``SPAN_WORDS`` words of every ``EVERY`` times as many, so what it sees grows with the corpus. All of
-  them give the id and pair counts of its prior; in each of ``ROUNDS`` rounds another part of them
-  (1 in ``PARTS``) trains the network, in shards of ``SHARD_IDS`` ids side by side, whose weights are averaged.
+* The model works on subword ids of the words and learns from every word of all training texts. All of
+  them give the id and pair counts of its prior; in each of ``ROUNDS`` rounds another part of the texts
+  trains the network, in shards of ``SHARD_IDS`` ids side by side, whose weights are averaged. The rounds
+  together take each text once.
 * Frequent ids are leaves of a two-level softmax; the last leaf stands for all others, which share its
   probability by their smoothed counts. So every id sequence has a probability.
 * Scoring takes each text once: overlapping windows, batched over texts, count each id exactly once.
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from . import lm_model as net
 from .common import U64, cut, doc_chunks, hashed_docs, pick, small_batches, utf8
 
-SPAN_WORDS, EVERY = 24, 8
-SHARD_IDS, ROUNDS, PARTS, BATCH, LEAST_STEPS = 400_000, 3, 9, 64, 200
+SHARD_IDS, ROUNDS, BATCH, LEAST_STEPS = 400_000, 9, 64, 200
 RATE = 4e-3
 TOP, HELD = 1 << 17, 1 << 20
 SMOOTH, RARE_SMOOTH = 0.1, 0.1
@@ -93,7 +92,7 @@ class Ids:
 
 
 def _gather(vocabulary: tuple[str, str]):
-    """Rows of (word hash, count) and of training ids (h null)."""
+    """Rows of (word hash, count) and of each text's key and ids (h null)."""
 
     def counts_batch(parts):
         h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -101,24 +100,20 @@ def _gather(vocabulary: tuple[str, str]):
         return u, np.bincount(at, weights=c).astype(np.int64)
 
     def rows(u, c):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.nulls(len(u), pa.binary())], names=["h", "n", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], names=["h", "n", "key", "ids"])
 
     def run(batches):
         ids, parts, held = Ids(vocabulary), [], 0
         for batch in batches:
             texts = utf8(batch.column("text"), lower=True)
-            spans = []
             for a, b in doc_chunks(texts):
                 h = np.concatenate([*hashed_docs(texts[a:b]), np.full(b - a, END_HASH)])
                 u, c = np.unique(h, return_counts=True)
                 parts.append((u, c))
                 held += len(u)
-            for shift, t in zip(batch.column("shift").to_pylist(), texts, strict=True):
-                words = t.split()
-                for at in range(shift * SPAN_WORDS, len(words) + 1, SPAN_WORDS * EVERY):
-                    spans.append(ids.of(words[at : at + SPAN_WORDS], at + SPAN_WORDS > len(words)).tobytes())
-            if spans:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(spans), pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(spans, pa.binary())], names=["h", "n", "ids"])
+            said = [ids.of(t.split()).tobytes() for t in texts]
+            if said:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(said), pa.int64()), pa.array([len(x) // 2 for x in said], pa.int64()), batch.column("key"), pa.array(said, pa.binary())], names=["h", "n", "key", "ids"])
             if held > HELD:
                 parts = [counts_batch(parts)]
                 held = len(parts[0][0])
@@ -208,16 +203,16 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["weight", "flat"])
 
 
-def train(spans: DataFrame, leaf: np.ndarray, prior: tuple, n_ids: int) -> np.ndarray:
-    """Weights after ROUNDS rounds of training on shards and averaging."""
-    spark = spans.sparkSession
-    flat, shards = net.start(), max(1, math.ceil(n_ids / PARTS / SHARD_IDS))
+def train(texts: DataFrame, leaf: np.ndarray, prior: tuple, n_ids: int) -> np.ndarray:
+    """Weights after ROUNDS rounds of training on shards and averaging; texts has key and ids."""
+    spark = texts.sparkSession
+    flat, shards = net.start(), max(1, math.ceil(n_ids / ROUNDS / SHARD_IDS))
     if not n_ids:
         return flat
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((flat, prior, leaf))
         # written first, so that a lost executor costs its own shards only
-        own = cut(spans.filter(F.pmod(F.xxhash64("ids"), F.lit(PARTS)) == r).select("ids").repartition(shards, F.xxhash64("ids", F.lit(r))).mapInArrow(_train(shared, r), "shard int, weight double, flat binary"), "lm-weights")
+        own = cut(texts.filter(F.pmod("key", F.lit(ROUNDS)) == r).repartition(shards, F.xxhash64("key", F.lit(r))).select("ids").mapInArrow(_train(shared, r), "shard int, weight double, flat binary"), "lm-weights")
         groups = math.isqrt(shards - 1) + 1
         rows = sorted(own.withColumn("g", F.col("shard") % groups).repartition(groups, "g").select("weight", "flat").mapInArrow(_average, "weight double, flat binary").collect())  # the square root of the shards
         if not rows:
@@ -286,21 +281,20 @@ def score(docs: DataFrame, vocabulary: tuple[str, str], doc_id: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     d = pick(docs, doc_id=doc_id, text=text).withColumn("held_out", held_out(F.col("doc_id")))
-    shift = F.pmod(F.xxhash64("doc_id"), F.lit(EVERY)).cast("int").alias("shift")
-    got = cut(d.filter("not held_out").select(shift, "text").mapInArrow(_gather(vocabulary), "h long, n long, ids binary"), "lm-gathered")
+    got = cut(d.filter("not held_out").select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_gather(vocabulary), "h long, n long, key long, ids binary"), "lm-gathered")
     counts = cut(got.filter("h is not null").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, distinct = total["n"] or 0, total["v"]
-    spans = got.filter("ids is not null")
+    texts = got.filter("ids is not null").select("key", "ids")
     used = np.zeros(1 << 16, np.int64)
-    for r in spans.select("ids").mapInArrow(_id_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # at most 65,536 rows
+    for r in texts.select("ids").mapInArrow(_id_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # at most 65,536 rows
         used[r["id"]] = r["c"]
     leaf, within = leaf_table(used, Ids(vocabulary).end + 1)
     pairs = np.zeros((net.LEAVES + 2) * (net.LEAVES + 1))
-    seen = spans.select("ids").mapInArrow(_pair_counts(leaf), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # a row for a pair of leaves at most
+    seen = texts.select("ids").mapInArrow(_pair_counts(leaf), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()  # a row for a pair of leaves at most
     pairs[seen["id"].to_numpy()] = seen["c"].to_numpy()
     prior = net.prior(pairs.reshape(net.LEAVES + 2, -1))
-    flat = train(spans, leaf, prior, int(used.sum()))
+    flat = train(texts, leaf, prior, int(used.sum()))
     whole = n_train + SMOOTH * (distinct + 1)
     top = counts.orderBy(F.col("c").desc(), "h").limit(TOP).toArrow()
     h, c = top["h"].to_numpy().astype(np.int64).view(U64), top["c"].to_numpy()

@@ -148,6 +148,28 @@ def test_lm_ids_of_words():
     assert ids.of([]).tolist() == [ids.end] and ids.of([], False).tolist() == []
 
 
+def test_lm_gathers_every_word():
+    import pyarrow as pa
+
+    vocabulary = subwords("byte_bpe_50k.tiktoken")
+    texts = ["one", "", "two three", LONG] + [f"short text {i}" for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+    rows = [r for out in lm_score._gather(vocabulary)([batch]) for r in out.to_pylist() if r["ids"] is not None]
+    ids = lm_score.Ids(vocabulary)
+    assert {r["key"]: r["ids"] for r in rows} == {i: ids.of([w.encode() for w in t.split()]).tobytes() for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("key", [0, 8])
+def test_lm_trains_on_all_parts(spark, key):
+    from quillspark.llm import lm_model as net
+
+    ids = np.arange(200, dtype="<u2") % 7
+    leaf = np.arange(1 << 16, dtype=np.int32) % (net.LEAVES + 1)
+    prior = net.prior(np.ones((net.LEAVES + 2, net.LEAVES + 1)))
+    texts = spark.createDataFrame([(key, ids.tobytes())], "key long, ids binary")
+    assert not np.array_equal(lm_score.train(texts, leaf, prior, len(ids)), net.start())
+
+
 def test_lm_probabilities_add_up_and_gradient():
     from quillspark.llm import lm_model as net
 
