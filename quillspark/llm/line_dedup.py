@@ -12,10 +12,11 @@ of the words bounds the overlap from above (bitmap filter: an element in one set
 that unlike pairs end inside the join. Candidates are verified on the whole sets of their lines. Words
 that occur once in the corpus are no prefix entries, as no other line has them.
 
-A class needs one earlier match only. So each prefix word first offers the earliest class of each size to
+For removal a class needs one earlier match only. So each prefix word first offers the earliest class of each size to
 all others, and a class is tested against the nearest offered, which settles large groups of near copies
 at about one test a line. Classes still open, which had another offer or share a word with a size of which
-only the earliest was offered, then meet all earlier entries of such words. Nothing is capped.
+only the earliest was offered, then meet all earlier entries of such words. The report counts all links between classes, so there every
+class meets all earlier entries at once; a group of near copies has as many links as pairs. Nothing is capped.
 
 Lines without words are kept and match nothing. Null and empty texts have no lines with words. Rows with
 the same doc_id share its places: equal rows count as one, and go or stay together. Rows with a null
@@ -159,8 +160,20 @@ def _ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
     return place, int((counts <= 1).sum())
 
 
-def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The lines (id, line, n, s1, s2, first_id, first_line) and, for classes with an earlier match, one such match.
+def _with_first(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    return lines.select("id", "line", "n", "s1", "s2").join(classes, ["n", "s1", "s2"])
+
+
+def _matched(links: DataFrame) -> DataFrame:
+    """first_id, first_line, match_id, match_line: the earliest match of each class in the links, stored."""
+    found = links.groupBy("id", "line").agg(F.min(F.struct("x_id", "x_line")).alias("match"))
+    return cut(found.select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.col("match.x_id").alias("match_id"), F.col("match.x_line").alias("match_line")), "line-matches")
+
+
+def matches(docs: DataFrame, percent: int = 80, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The lines (id, line, n, s1, s2, first_id, first_line), for classes with an earlier match one such match, and all links.
+
+    The links (id, line, x_id, x_line: the firsts of two similar classes, the later one first) are None unless ``every``.
 
     docs has id (long, not null) and text.
     """
@@ -186,6 +199,11 @@ def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("x_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("x_b2")))
     possible = earlier & alike & positions & ((both - apart) * fit >= 2 * percent * both)
 
+    if every:
+        pairs = cut(entries().join(others(entries()), "word").filter(possible).select(*PAIR).distinct(), "line-pairs")
+        links = _confirmed(docs, pairs, percent, "line-all")
+        return _with_first(lines, classes), _matched(links), links
+
     dealt = entries().repartition("word")
     sizes = dealt.groupBy("word", "n").agg(F.count("*").alias("g"), F.min(F.struct("id", "line", "pos", "b1", "b2")).alias("f"))
     offer = others(sizes.select("word", "n", "f.id", "f.line", "f.pos", "f.b1", "f.b2"))
@@ -204,19 +222,18 @@ def matches(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     met = rest.join(other, "word").filter(possible).select(*PAIR).distinct()
     pairs = cut(met.join(_small(tested), PAIR, "left_anti"), "line-pairs")
     two = _confirmed(docs, pairs, percent, "line-rest")
-    found = one.union(two).groupBy("id", "line").agg(F.min(F.struct("x_id", "x_line")).alias("match"))
-    found = found.select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.col("match.x_id").alias("match_id"), F.col("match.x_line").alias("match_line"))
-    return lines.select("id", "line", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]), cut(found, "line-matches")
+    return _with_first(lines, classes), _matched(one.union(two)), None
 
 
-def removals(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """id, n_lines (lines with words), n_links, class_id and the removed line numbers of each document with words.
 
     n_links counts the document's lines that match an earlier line; class_id is the least doc_id of a
-    document with the same sequence of line classes.
+    document with the same sequence of line classes. With ``every`` there is n_matches: the links of the
+    document's lines to other line classes, earlier and later.
     """
     d = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long")).filter("id is not null and text is not null")
-    lines, found = matches(d, percent)
+    lines, found, links = matches(d, percent, every)
     x = lines.join(_small(found), ["first_id", "first_line"], "left")
     gone = (F.col("first_id") != F.col("id")) | (F.col("first_line") != F.col("line")) | F.col("match_id").isNotNull()
     per = x.groupBy("id").agg(
@@ -227,7 +244,13 @@ def removals(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: s
     per = per.withColumn("n_links", F.size("removed").cast("long"))
     per = cut(per, "line-documents")
     ids = per.groupBy("seq").agg(F.min("id").alias("class_id"))
-    return per.join(ids, "seq").drop("seq")
+    out = per.join(ids, "seq").drop("seq")
+    if links is None:
+        return out
+    ends = links.select("id", "line").union(links.select("x_id", "x_line")).groupBy("id", "line").agg(F.count("*").alias("c"))
+    ends = cut(ends.select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), "c"), "line-degrees")
+    own = lines.select("id", "line", "first_id", "first_line").distinct().join(_small(ends), ["first_id", "first_line"])
+    return out.join(own.groupBy("id").agg(F.sum("c").alias("n_matches")), "id", "left")
 
 
 @F.pandas_udf(T.StringType())
@@ -240,11 +263,11 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
 
 
 def line_report(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, class_id, n_lines, n_links, n_kept, removed_lines."""
-    r = removals(docs, percent, doc_id, text)
+    """A row for each row of docs: doc_id, class_id, n_lines, n_links, n_kept, n_matches, removed_lines."""
+    r = removals(docs, percent, doc_id, text, every=True)
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
     x = d.join(r, d["doc_id"] == r["id"], "left")
-    return x.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_lines", F.lit(0)) - F.coalesce("n_links", F.lit(0))).alias("n_kept"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
+    return x.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("n_lines", F.lit(0)) - F.coalesce("n_links", F.lit(0))).alias("n_kept"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def drop_later_lines(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -118,6 +118,21 @@ def test_line_dedup_large_group_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in out if r["n_kept"]) == [0]
 
 
+def test_line_dedup_counts_all_links(spark):
+    rows = [(i, " ".join(f"word{j}" for j in range(30)) + f" own{i}\nnothing like it {i} at all{i}", "en", "a") for i in range(12)]
+    rows += [(50, rows[3][1], "en", "a"), (51, "quite another line", "en", "a"), (52, "", "en", "a")]
+    out = {r["doc_id"]: r for r in line_dedup.line_report(frame(spark, rows)).collect()}
+    assert all(out[i]["n_matches"] == 11 for i in [*range(12), 50]) and out[51]["n_matches"] == out[52]["n_matches"] == 0
+
+
+def test_line_dedup_links_match_brute_force(spark, docs):
+    sets = {r["doc_id"]: [frozenset(x.lower() for x in words(t)) for t in (r["text"] or "").split("\n")] for r in docs.collect() if r["doc_id"] is not None}
+    classes = {s for x in sets.values() for s in x if s}
+    degree = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in classes) for a in classes}
+    for r in line_dedup.line_report(docs).collect():
+        assert r["n_matches"] == sum(degree[s] for s in sets.get(r["doc_id"], []) if s)
+
+
 # LM scoring
 
 
