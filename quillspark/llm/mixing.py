@@ -7,8 +7,8 @@ chosen so that the expected tokens are the wanted share of all. Draws compare a
 the probability: they do not depend on partitions and repeat exactly.
 
 Without targets, a margin's shares are its present shares raised to ``flatten`` and normalised. Topics, if
-there is no column, are clusters of hashed word counts, fitted to the ``SAMPLE`` documents with the least
-hashes of their ids (the bound of that sample) and assigned to all.
+there is no column, are clusters of hashed word counts, fitted to all documents: each round of k-means is a scan
+that adds up whole numbers, so the centres do not depend on partitions.
 
 Null sources, languages and topics are values of their own. Null and empty texts have no tokens and
 the weight of their cell, or of 1 if the cell has no tokens. Rows with one doc_id are drawn together. An empty table gives an
@@ -17,6 +17,9 @@ empty result; extra columns are kept by ``sample`` and ignored by ``probabilitie
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, cut, hashed_docs, pick, small_batches, utf8
 
-FEATURES, TOPICS, SAMPLE = 64, 8, 2000
+FEATURES, TOPICS, ROUNDS = 64, 8, 20
+#: Features are added up as whole numbers of this fraction.
+UNIT = 1 << 24
 #: Cells up to which raking runs in the driver (a few MB); beyond, each step is a query over the cells.
 DRIVER_CELLS = 100_000
 MARGINS = ("source", "lang", "topic")
@@ -37,32 +42,89 @@ def features(h: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
-def fit_topics(texts: list[bytes], k: int = TOPICS, rounds: int = 20) -> np.ndarray:
-    """Centres of spherical k-means, started from documents far from each other."""
-    x = np.array([features(h) for h in hashed_docs([t.lower() for t in texts])]).reshape(-1, FEATURES)
-    x = x[x.any(axis=1)]
-    if not len(x):
-        return np.zeros((1, FEATURES))
-    centres = x[:1]
-    while len(centres) < min(k, len(x)):
-        centres = np.vstack([centres, x[(x @ centres.T).max(axis=1).argmin()]])
+def _vectors(batches):
+    for batch in batches:
+        n, v = [], []
+        for h in hashed_docs(utf8(batch.column("text"), lower=True)):
+            n.append(len(h))
+            v.append(np.round(features(h) * UNIT).astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(n, pa.int64()), pa.array(v, pa.binary())], names=["doc_id", "source", "lang", "n_tokens", "v"])
+
+
+def _matrix(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("v").to_pylist()), "<i4").reshape(-1, FEATURES)
+
+
+def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return x.astype(np.float64) @ centres.T
+
+
+def _sums(centres: np.ndarray):
+    """Rows of (place in the centres, sum of the features of the vectors next to that centre)."""
+
+    def run(batches):
+        total = np.zeros((len(centres), FEATURES), np.int64)
+        for batch in batches:
+            x = _matrix(batch)
+            x = x[x.any(axis=1)]
+            near = _near(x, centres).argmax(axis=1)
+            for j in range(len(centres)):
+                total[j] += x[near == j].sum(axis=0, dtype=np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["k", "x"])
+
+    return run
+
+
+def _draw(centres: np.ndarray, seed: int):
+    """The task's vector of least key; keys make far vectors likely, in proportion to their squared distance."""
+
+    def run(batches):
+        best = None
+        for batch in batches:
+            x = _matrix(batch)
+            x = np.unique(x[x.any(axis=1)], axis=0)
+            far = 1 - _near(x, centres).max(axis=1, initial=-1) / UNIT
+            for v, d in zip(x, far.tolist(), strict=True):
+                if d > 1e-6:
+                    u = (int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8, key=b"%d" % seed).digest(), "big") + 1) * 2.0**-64
+                    best = min(best or (math.inf, b""), (-math.log(u) / d, v.tobytes()))
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["key", "v"])
+
+    return run
+
+
+def fit_topics(vectors: DataFrame, k: int = TOPICS, rounds: int = ROUNDS) -> np.ndarray:
+    """Centres of spherical k-means over all vectors (v), started from the mean and vectors drawn far from the centres."""
+
+    def moved(centres: np.ndarray) -> np.ndarray:
+        got = vectors.mapInArrow(_sums(centres), "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).toArrow()  # at most k x FEATURES rows
+        c = np.zeros(centres.size)
+        c[got["k"].to_numpy()] = got["x"].to_numpy()
+        c = c.reshape(centres.shape)
+        size = np.sqrt((c * c).sum(axis=1, keepdims=True))
+        return np.where(size > 0, c / np.maximum(size, 1), centres)
+
+    centres = moved(np.zeros((1, FEATURES)))
+    while len(centres) < k:
+        far = vectors.mapInArrow(_draw(centres, len(centres)), "key double, v binary").agg(F.min(F.struct("key", "v")).alias("x")).first()["x"]
+        if far is None:
+            break
+        v = np.frombuffer(far["v"], "<i4").astype(np.float64)
+        centres = np.vstack([centres, v / np.sqrt((v * v).sum())])
     for _ in range(rounds):
-        near = (x @ centres.T).argmax(axis=1)
-        for j in range(len(centres)):
-            if (near == j).any():
-                c = x[near == j].sum(axis=0)
-                centres[j] = c / np.sqrt((c * c).sum())
+        old, centres = centres, moved(centres)
+        if np.array_equal(old, centres):
+            break
     return centres
 
 
-def _measure(centres: np.ndarray):
+def _assign(centres: np.ndarray):
     def run(batches):
         for batch in batches:
-            n, topic = [], []
-            for h in hashed_docs(utf8(batch.column("text"), lower=True)):
-                n.append(len(h))
-                topic.append(int((centres @ features(h)).argmax()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(topic, pa.int32()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "topic", "n_tokens"])
+            topic = _near(_matrix(batch), centres).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array(topic.astype(np.int32)), batch.column("n_tokens")], names=["doc_id", "source", "lang", "topic", "n_tokens"])
 
     return run
 
@@ -76,11 +138,10 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """doc_id, source, lang, topic, n_tokens of each row."""
     small_batches(docs.sparkSession)
     d = pick(docs, doc_id=doc_id, text=text, source=source, lang=lang)
-    few = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = d.join(F.broadcast(few), d["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").orderBy("doc_id", "text").limit(SAMPLE)
-    centres = fit_topics([(r["text"] or "").encode() for r in texts.select("text").collect()])  # at most SAMPLE texts
     kind = dict(d.dtypes)
-    return d.mapInArrow(_measure(centres), f"doc_id {kind['doc_id']}, source {kind['source']}, lang {kind['lang']}, topic int, n_tokens long")
+    own = f"doc_id {kind['doc_id']}, source {kind['source']}, lang {kind['lang']}"
+    x = cut(d.mapInArrow(_vectors, f"{own}, n_tokens long, v binary"), "mix-vectors")
+    return x.mapInArrow(_assign(fit_topics(x.select("v"))), f"{own}, topic int, n_tokens long")
 
 
 def flat_targets(shares: dict, flatten: float) -> dict:

@@ -370,6 +370,13 @@ def test_mixing_awkward(spark, docs):
     assert [r["n_tokens"] for r in none] == [0, 0]
 
 
+def test_topics_see_every_document(spark):
+    rows = [(i, f"common words in all of these {i % 7}", "en", "a") for i in range(20_000)] + [(90_000, "zebra quagga okapi", "fr", "b")]
+    d = frame(spark, rows)
+    one, two = ({r["doc_id"]: r["topic"] for r in mixing.measure(x).collect()} for x in (d, d.repartition(5)))
+    assert one == two and one[90_000] not in {one[i] for i in range(20_000)}
+
+
 def test_scale():
     t, w = np.array([10.0, 20.0, 70.0]), np.array([4.0, 1.0, 0.5])
     for share in (0.05, 0.3, 0.9, 1.0):
