@@ -94,6 +94,11 @@ def str03_title(t):
     return t("documents").select("doc_id", text.normalize_title(F.left("text", F.lit(200))).alias("title"))
 
 
+@query("SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS title FROM documents")
+def str03_title_whole(t):
+    return t("documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"))
+
+
 @query("SELECT page_id, replace(regexp_replace(url_decode(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1)), '^(executive-order|proclamation|memorandum)-[0-9]+-', ''), '-', ' ') AS title FROM pages")
 def str04_title_from_url(t):
     return t("pages").select("page_id", text.title_from_url(F.col("url")).alias("title"))

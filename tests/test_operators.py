@@ -160,3 +160,10 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_csv(sinks.public_columns(df.withColumn("_x", F.lit(1))), str(tmp_path / "out"))
     assert "_x" not in spark.read.csv(str(tmp_path / "out"), header=True).columns
     assert "</" not in sinks.payload(spark.createDataFrame([("</script>",)], "t string")).first()["json"]
+
+
+def test_whole_titles(spark, tmp_path):
+    from quillspark.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "A-b " * 200 + "Last!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["str03_title_whole"](spark, str(tmp_path)).first()["title"] == "a b " * 200 + "last"
