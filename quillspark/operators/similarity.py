@@ -81,9 +81,9 @@ def reused_words(children: DataFrame, parents: DataFrame, size: int = 10) -> Dat
     return hit.groupBy("child", "parent").agg(F.sum(F.least(F.lit(size), F.coalesce(F.col("q") - F.col("p"), F.lit(size)))).cast("long").alias("words"))
 
 
-def tfidf(segments: DataFrame, n: int = 3) -> DataFrame:
-    """id, gram, weight: word n-grams (lower case, two characters or more a word), smooth idf, unit length."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+def tfidf(segments: DataFrame, n: int = 3, words: Column | None = None) -> DataFrame:
+    """id, gram, weight: word n-grams (without words: lower case, two characters or more a word), smooth idf, unit length."""
+    words = words if words is not None else F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     grams = segments.select("id", words.alias("w")).filter(F.size("w") >= n)
     grams = grams.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram"))
     tf = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
@@ -100,6 +100,22 @@ def cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "gram").groupBy("left", "right").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
+def segment_similarity(children: DataFrame, parents: DataFrame, count: int = 3) -> DataFrame:
+    """child, parent, score: mean of the count best trigram TF-IDF cosines of their segments; idf over all segments.
+
+    children and parents have id, i (the segment's place) and text. Pairs of segments without a common
+    gram count as 0; documents without any such pair are left out.
+    """
+    both = [d.select(F.struct(F.lit(side).alias("side"), F.col("id").alias("doc"), "i").alias("id"), "text") for side, d in enumerate((children, parents))]
+    w = tfidf(both[0].union(both[1]), words=tokens(F.col("text")))
+    pairs = cosine(w.filter("id.side = 0"), w.filter("id.side = 1")).select(F.col("left.doc").alias("child"), F.col("right.doc").alias("parent"), F.col("left.i").alias("i"), F.col("right.i").alias("j"), "score")
+    best = Window.partitionBy("child", "parent").orderBy(F.col("score").desc(), "i", "j")
+    top = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= count).groupBy("child", "parent").agg(F.sum("score").alias("total"))
+    sizes = [d.groupBy(F.col("id").alias(name)).agg(F.count("*").alias(f"n_{name}")) for d, name in ((children, "child"), (parents, "parent"))]
+    x = top.join(sizes[0], "child").join(sizes[1], "parent")
+    return x.select("child", "parent", (F.col("total") / F.least(F.lit(count), F.col("n_child") * F.col("n_parent"))).alias("score"))
+
+
 def bad_vectors(vectors: DataFrame, width: int, tolerance: float = 1e-3) -> DataFrame:
     """Rows whose vector has another width, a value that is not finite, or no unit length."""
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf))

@@ -616,6 +616,21 @@ def sim03_trigram_tfidf(t):
     return similarity.tfidf(t("benchmark").select(F.col("item_id").alias("id"), "text")).select("id", "gram", r6(F.col("weight"), "weight"))
 
 
+@query("""WITH l AS (SELECT 0 AS side, doc_id AS id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents UNION ALL SELECT 1, item_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') FROM benchmark),
+s AS (SELECT side, id, unnest(range(1, len(l) + 1)) AS i, l FROM l), w AS (SELECT side, id, i, regexp_extract_all(l[i], '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*') AS w FROM s),
+g AS (SELECT side, id, i, unnest(list_transform(range(1, greatest(len(w) - 2, 0) + 1), lambda k: array_to_string(w[k:k+2], ' '))) AS gram FROM w), tf AS (SELECT side, id, i, gram, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
+x AS (SELECT side, id, i, gram, tf * (ln((1 + (SELECT count(*) FROM s)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (gram)), n AS (SELECT side, id, i, sqrt(sum(x * x)) AS n FROM x GROUP BY ALL), v AS (SELECT side, id, i, gram, x / n AS x FROM x JOIN n USING (side, id, i)),
+c AS (SELECT a.id AS child, b.id AS parent, a.i AS i, b.i AS j, sum(a.x * b.x) AS score FROM v a JOIN v b USING (gram) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL), k AS (SELECT side, id, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT child, parent, sum(score) AS total FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY child, parent ORDER BY score DESC, i, j) <= 3) GROUP BY ALL)
+SELECT child, parent, round(total / least(3, a.n * b.n), 6) AS score FROM t JOIN k a ON a.side = 0 AND a.id = child JOIN k b ON b.side = 1 AND b.id = parent""")
+def sim03_trigram_similarity(t):
+    def lines(name, key):
+        one = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
+        return t(name).select(F.col(key).alias("id"), F.posexplode(one).alias("i", "text"))
+
+    return similarity.segment_similarity(lines("documents", "doc_id"), lines("benchmark", "item_id")).select("child", "parent", r6(F.col("score"), "score"))
+
+
 @query("""WITH c AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*') AS w FROM documents), p AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)*') AS w FROM benchmark),
 cs AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 9, 0) + 1)) AS i, w FROM c), cr AS (SELECT doc_id, i, array_to_string(w[i:i+9], ' ') AS run FROM cs), ps AS (SELECT item_id, unnest(range(1, greatest(len(w) - 9, 0) + 1)) AS i, w FROM p), pr AS (SELECT DISTINCT item_id, array_to_string(w[i:i+9], ' ') AS run FROM ps),
 h AS (SELECT doc_id, item_id, i, lead(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS q FROM cr JOIN pr USING (run)) SELECT doc_id AS child, item_id AS parent, CAST(sum(least(10, coalesce(q - i, 10))) AS BIGINT) AS words FROM h GROUP BY ALL""")

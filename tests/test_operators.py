@@ -167,3 +167,10 @@ def test_whole_titles(spark, tmp_path):
 
     spark.createDataFrame([(1, "A-b " * 200 + "Last!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES["str03_title_whole"](spark, str(tmp_path)).first()["title"] == "a b " * 200 + "last"
+
+
+def test_segment_similarity(spark):
+    c = spark.createDataFrame([(1, 0, "a b c"), (1, 1, "x y z"), (2, 0, "a b c"), (3, 0, "A b c")], "id long, i int, text string")
+    p = spark.createDataFrame([(7, 0, "a b c"), (7, 1, "p q r"), (8, 0, "x y z")], "id long, i int, text string")
+    got = {(r["child"], r["parent"]): r["score"] for r in similarity.segment_similarity(c, p).collect()}
+    assert got == {(1, 7): pytest.approx(1 / 3), (2, 7): pytest.approx(1 / 2), (1, 8): pytest.approx(1 / 2)}
