@@ -17,9 +17,6 @@ empty result; extra columns are kept by ``sample`` and ignored by ``probabilitie
 
 from __future__ import annotations
 
-import hashlib
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,19 +73,18 @@ def _sums(centres: np.ndarray):
     return run
 
 
-def _draw(centres: np.ndarray, seed: int):
-    """The task's vector of least key; keys make far vectors likely, in proportion to their squared distance."""
+def _farthest(centres: np.ndarray):
+    """The task's vector least like its nearest centre."""
 
     def run(batches):
         best = None
         for batch in batches:
             x = _matrix(batch)
-            x = np.unique(x[x.any(axis=1)], axis=0)
-            far = 1 - _near(x, centres).max(axis=1, initial=-1) / UNIT
-            for v, d in zip(x, far.tolist(), strict=True):
-                if d > 1e-6:
-                    u = (int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8, key=b"%d" % seed).digest(), "big") + 1) * 2.0**-64
-                    best = min(best or (math.inf, b""), (-math.log(u) / d, v.tobytes()))
+            x = x[x.any(axis=1)]
+            if len(x):
+                key = np.round(_near(x, centres).max(axis=1) / UNIT, 9)
+                here = min((float(key[i]), x[i].tobytes()) for i in np.flatnonzero(key == key.min()))
+                best = min(best or here, here)
         if best:
             yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], names=["key", "v"])
 
@@ -96,7 +92,7 @@ def _draw(centres: np.ndarray, seed: int):
 
 
 def fit_topics(vectors: DataFrame, k: int = TOPICS, rounds: int = ROUNDS) -> np.ndarray:
-    """Centres of spherical k-means over all vectors (v), started from the mean and vectors drawn far from the centres."""
+    """Centres of spherical k-means over all vectors (doc_id, n_tokens, v), started from documents far from each other."""
 
     def moved(centres: np.ndarray) -> np.ndarray:
         got = vectors.mapInArrow(_sums(centres), "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).toArrow()  # at most k x FEATURES rows
@@ -106,13 +102,20 @@ def fit_topics(vectors: DataFrame, k: int = TOPICS, rounds: int = ROUNDS) -> np.
         size = np.sqrt((c * c).sum(axis=1, keepdims=True))
         return np.where(size > 0, c / np.maximum(size, 1), centres)
 
-    centres = moved(np.zeros((1, FEATURES)))
+    def unit(raw: bytes) -> np.ndarray:
+        v = np.frombuffer(raw, "<i4").astype(np.float64)
+        return v / np.sqrt((v * v).sum())
+
+    one = vectors.filter("n_tokens > 0").orderBy("doc_id", "v").select("v").first()
+    if one is None:
+        return np.zeros((1, FEATURES))
+    centres = unit(one["v"])[None, :]
+    vectors = vectors.select("v")
     while len(centres) < k:
-        far = vectors.mapInArrow(_draw(centres, len(centres)), "key double, v binary").agg(F.min(F.struct("key", "v")).alias("x")).first()["x"]
-        if far is None:
+        far = vectors.mapInArrow(_farthest(centres), "key double, v binary").agg(F.min(F.struct("key", "v")).alias("x")).first()["x"]
+        if far["key"] >= 1 - 1e-6:
             break
-        v = np.frombuffer(far["v"], "<i4").astype(np.float64)
-        centres = np.vstack([centres, v / np.sqrt((v * v).sum())])
+        centres = np.vstack([centres, unit(far["v"])])
     for _ in range(rounds):
         old, centres = centres, moved(centres)
         if np.array_equal(old, centres):
@@ -141,7 +144,7 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     kind = dict(d.dtypes)
     own = f"doc_id {kind['doc_id']}, source {kind['source']}, lang {kind['lang']}"
     x = cut(d.mapInArrow(_vectors, f"{own}, n_tokens long, v binary"), "mix-vectors")
-    return x.mapInArrow(_assign(fit_topics(x.select("v"))), f"{own}, topic int, n_tokens long")
+    return x.mapInArrow(_assign(fit_topics(x)), f"{own}, topic int, n_tokens long")
 
 
 def flat_targets(shares: dict, flatten: float) -> dict:
