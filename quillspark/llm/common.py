@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import re
 import uuid
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Most bytes of text hashed in one numpy pass; longer texts go alone.
-CHUNK_BYTES = 1 << 21
+#: Most bytes of text hashed in one numpy pass, so that its arrays stay in a core's cache; longer texts go alone.
+CHUNK_BYTES = 1 << 17
 #: ASCII white space, the complement of the word pattern [^\x20\x09-\x0D]+.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,7 +49,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a short lineage that outlives executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``cut`` wrote for these frames, once nothing reads it any more."""
+    for f in frames:
+        spark = f.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(f.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def is_local(uri: str) -> bool:
@@ -70,6 +91,42 @@ def open_out(uri: str):
     return store.open_output_stream(path)
 
 
+def uncollected(run):
+    """run over batches with Python's cycle collector off: these steps make no cycles, and it would scan the remembered words again and again."""
+
+    def out(batches):
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return out
+
+
+class Recent(dict):
+    """make(key) of recent keys, looked up by ``[]``: at most twice ``limit`` entries, the older go first.
+
+    Keys longer than ``longest`` are made each time.
+    """
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the word."""
     x = x ^ (x >> U64(33))
