@@ -11,7 +11,8 @@ again, and one exchange by digest leaves each chunk once. Reading back checks ev
 digest and every recipe against the Merkle roots. A document's checksum is combined from those of its
 chunks, which needs no second move of the ids; ``documents`` returns the ids themselves.
 
-Null and empty texts hold the end id only. Rows with one doc_id keep their own recipes, ordered by
+Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the string of a special token
+in a text is that token's id. Null and empty texts hold the end id only. Rows with one doc_id keep their own recipes, ordered by
 content; null ids come first. An empty table gives an empty store; extra columns are ignored.
 """
 
@@ -31,18 +32,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix, pick, shared_dir, small_batches, utf8
+from .common import U64, Recent, mix, pick, shared_dir, small_batches, uncollected, utf8
 
 SPAN, MASK, MIN_IDS, MAX_IDS = 8, 0xFF, 64, 2048
-#: Words whose ids a task remembers, and chunk digests that it has sent.
-WORD_CACHE, SENT_CACHE = 400_000, 1_000_000
+#: Pieces of texts whose ids a task remembers, and chunk digests that it has sent.
+WORD_CACHE, SENT_CACHE = 300_000, 1_000_000
 #: Unicode White_Space, as the tokenizer's pattern reads it. No token of it crosses these pieces.
 _WS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: A run of these letters (all of the pattern's class L) before white space or a mark is a token's whole match.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECE = re.compile(f" ?[{_LETTERS}]++(?=[{_WS}.,;:!?]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: Byte-level vocabularies write a byte as itself if it is printable in Latin-1, else as 256 and up in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
-_MARKS = frozenset(".,;:!?")
+_SPACE_CHAR = _BYTE_CHARS[32]
 #: Fixed value: the splitting pattern of byte-level vocabularies of this kind.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _GEAR = mix(np.arange(1 << 16, dtype=U64) + U64(77))
@@ -60,63 +63,51 @@ def public_pattern(tokenizer) -> str:
 
 
 class WordEncoder:
-    """The tokenizers library over whole texts, remembering the ids of recent white-space pieces.
+    """The tokenizers library over whole texts, remembering the ids of recent pieces of texts.
 
-    The vocabulary's pattern never joins a token across the pieces of ``_PIECE``, so ids of pieces
-    put together are the ids of the text.
+    The strings of special tokens are cut out first, as the library does. The vocabulary's pattern never
+    joins a token across the pieces of ``_PIECE``, so ids of pieces put together are the ids of the text.
     """
 
     def __init__(self, path: str, wide: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u4" if wide or self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         if sys.byteorder != "little":
             raise ValueError("ids are written as little-endian integers")
         self.pattern = regex.compile(public_pattern(self.tokenizer))
-        self.parts: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that reach into the text beside them are not supported")
+        self.added = {t.content: array(self.code, [i]).tobytes() for i, t in added.items()}
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.known = Recent(self._learn, WORD_CACHE)
 
     def encode(self, text: str) -> bytes:
-        pieces = _PIECE.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-        if len(known) + len(new) > WORD_CACHE:
-            known.clear()
-            new = list(set(pieces))
-        self._learn(new)
-        return b"".join([known[p] for p in pieces])
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces: the tokenizer's own splitting, then its model on each part of a piece."""
-        parts, tokenize, code = self.parts, self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        if len(parts) > WORD_CACHE:
-            parts.clear()
-        for p in pieces:
-            out = b""
-            for x in self._split(p):
-                got = parts.get(x)
-                if got is None:
-                    if x.isascii() and x.isprintable():
-                        raw = x.replace(" ", _BYTE_CHARS[32])
-                    else:
-                        raw = "".join([_BYTE_CHARS.get(b, chr(b)) for b in x.encode()])
-                    got = parts[x] = array(code, [t.id for t in tokenize(raw)]).tobytes()
-                out += got
-            self.known[p] = out
-
-    def _split(self, piece: str) -> list[str]:
-        """What the pattern finds; words and words with a mark behind need no search."""
+        if self.split is None or not self.split.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [self._plain(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join(out) + self._plain(text[at:])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
+
+    def _learn(self, piece: str) -> bytes:
+        """The tokenizer's own splitting, then its model on each part of the piece."""
         word = piece[1:] if piece[0] == " " else piece
-        if word.isalpha():
-            return [piece]
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return [piece[:-1], word[-1]]
-        return self.pattern.findall(piece)
+        out = []
+        for x in (piece,) if word.isalpha() else self.pattern.findall(piece):
+            if x.isascii() and x.isprintable():
+                raw = x.replace(" ", _SPACE_CHAR)
+            else:
+                raw = x.encode().decode("latin-1").translate(_BYTE_CHARS)
+            out += [t.id for t in self.tokenizer.model.tokenize(raw)]
+        return array(self.code, out).tobytes()
 
 
 def chunk_cuts(ids: np.ndarray) -> list[int]:
@@ -155,9 +146,15 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """A Python worker's own encoder: its remembered pieces serve all its tasks."""
+    return WordEncoder(path)
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
-        enc = WordEncoder(path)
+        enc = encoder(path)
         end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         sent: set[bytes] = set()
         for batch in batches:
@@ -179,7 +176,7 @@ def _encode(path: str, end_id: int):
                 kind.append("recipes"), key.append(merkle_root(keys)), doc.append(d), n.append(len(ids)), data.append(b"".join(keys))
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["kind", "key", "doc_id", "n", "data"])
 
-    return run
+    return uncollected(run)
 
 
 def _once(batches):
@@ -245,7 +242,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = d.mapInArrow(_encode(tokenizer, end_id), "kind string, key binary, doc_id long, n long, data binary")
-    rows = rows.repartition(parts, "key").sortWithinPartitions("kind", "key")
+    # chunks meet by digest; recipes are dealt evenly, so that copies of a document do not pile up
+    dealt = F.when(F.col("kind") == "chunks", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
+    rows = rows.withColumn("deal", dealt).repartition(parts, "deal").drop("deal").sortWithinPartitions("kind", "key")
     rows.mapInArrow(_once, rows.schema).write.partitionBy("kind").parquet(f"{path}/raw")
     raw = spark.read.schema("key binary, doc_id long, n long, data binary, kind string").parquet(f"{path}/raw")
     recipes = raw.filter("kind = 'recipes'").select("doc_id", "n", "data", "key")
