@@ -18,16 +18,22 @@ one by one: repeated rows repeat, extra columns are ignored, an empty table give
 
 from __future__ import annotations
 
+from array import array
+from functools import lru_cache
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, utf8
+from .common import Recent, pick, small_batches, uncollected, utf8
 
 SPACE = "▁"
 #: Entries that a task remembers: words, parts of words, pairs of pieces.
-WORD_CACHE, PART_CACHE, PAIR_CACHE = 300_000, 600_000, 600_000
+WORD_CACHE, PART_CACHE, PAIR_CACHE, BEGUN_CACHE = 300_000, 200_000, 600_000, 20_000
+#: Lengths after which the state of a search is kept for parts that begin alike.
+STARTS = (6,)
 
 
 class Model:
@@ -51,12 +57,22 @@ class Model:
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.control = {i for i, p in enumerate(m.pieces) if p.type in (2, 3)}
         self.longest = max(map(len, self.score))
-        #: 1: a piece, 2: the start of a longer piece, 3: both
-        self.state = dict.fromkeys((p[:i] for p in self.score for i in range(1, len(p))), 2)
-        for p in self.score:
-            self.state[p] = self.state.get(p, 0) | 1
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.known: dict[tuple[str, str], bool] = {}
+        #: Numbers of pieces; characters that are no piece get numbers as they come.
+        self.number = dict(self.id)
+        self.text_of = {i: p for p, i in self.id.items()}
+        #: character -> (the nodes that follow, or None; the piece's number, or -1)
+        self.trie: dict = {}
+        for p, i in self.id.items():
+            here = self.trie
+            for c in p[:-1]:
+                node = here.get(c)
+                if node is None or node[0] is None:
+                    node = here[c] = ({}, -1 if node is None else node[1])
+                here = node[0]
+            node = here.get(p[-1])
+            here[p[-1]] = (None if node is None else node[0], i)
+        self.known: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging in score order, the leftmost first."""
@@ -72,16 +88,23 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether merging a + b leaves exactly a and b; for an empty a, whether b is ever made at all."""
-        key = (a, b)
-        out = self.known.get(key)
-        if out is None:
-            if len(self.known) >= PAIR_CACHE:
-                self.known.clear()
-            out = self.known[key] = (self.merge(b) == [b]) if not a else self.follows("", b) and self.merge(a + b) == [a, b]
+    def follows(self, a: int, b: int) -> bool:
+        """Whether merging piece a and piece b leaves exactly the two; for START, whether b is ever made at all."""
+        if len(self.known) >= PAIR_CACHE:
+            self.known.clear()
+        left, right = self.text_of.get(a, ""), self.text_of[b]
+        made = self.merge(right) == [right]
+        out = self.known[a << 32 | b] = made and (not left or self.merge(left + right) == [left, right])
         return out
 
+    def no_piece(self, c: str) -> int:
+        """The number of a character that is no piece."""
+        i = self.number.get(c)
+        if i is None:
+            i = self.number[c] = len(self.pieces) + 1 + len(self.number)
+            self.text_of[i] = c
+        return i
+
     def ids_of(self, piece: str) -> list[int]:
         if (i := self.id.get(piece)) is not None:
             return [i]
@@ -95,71 +118,103 @@ class Stream:
 
     def __init__(self, model: Model, kind: str | None = None):
         self.m, self.kind = model, kind or model.kind
-        self.buffer, self.base = "", 0  # characters from the last committed boundary on
-        self.last: list[str] = [""]  # the last piece of the best path to each position
+        self.start = len(model.pieces)  # stands before the first piece
+        self.last: list[int] = [self.start]  # the last piece of the best path to each position of the window
+        self.size: list[int] = [0]  # its length
         self.total = [0.0]
-        self.alive: list[int] = []  # where pieces that may reach ahead begin, ascending
-
-    def _step(self, end: int) -> None:
-        """Extends the best paths to position end: the longest piece that may follow, or the highest sum."""
-        text, state, last, known, m = self.buffer, self.m.state, self.last, self.m.known, self.m
-        found, best, ahead = None, None, []
-        merging = self.kind == "bpe"
-        for begin in (*self.alive, end - 1):
-            piece = text[begin:end]
-            what = state.get(piece, 0)
-            if what & 2:
-                ahead.append(begin)
-            if not what & 1 and end - begin > 1:
-                continue
-            if merging:
-                if found is None:
-                    before = last[begin]
-                    if known.get((before, piece)) or m.follows(before, piece):
-                        found = piece
-            else:
-                total = self.total[begin] + m.score.get(piece, -1e6)
-                if best is None or total > best:
-                    found, best = piece, total
-        self.alive = ahead
-        last.append(found)
-        self.total.append(best or 0.0)
+        self.buffer = ""  # characters from the last committed boundary on
+        self.alive: list[tuple[int, dict]] = []  # where pieces that may reach ahead begin, ascending, with their nodes
+
+    def feed(self, text: str) -> list[str]:
+        return [self.m.text_of[i] for i in self.advance(text)]
+
+    def close(self) -> list[str]:
+        return [self.m.text_of[i] for i in self.finish()]
+
+    def advance(self, text: str) -> list[int]:
+        """Extends the best paths by each character: the longest piece that may follow, or the highest sum.
+
+        The numbers of the pieces that became final.
+        """
+        m, out, merging, window = self.m, [], self.kind == "bpe", 4 * self.m.longest
+        trie, known, last, size, total, alive = m.trie, m.known, self.last, self.size, self.total, self.alive
+        end = len(last) - 1
+        for c in text:
+            found, length, best, ahead = -1, 1, 0.0, []
+            alive.append((end, trie))
+            end += 1
+            for begin, nodes in alive:
+                node = nodes.get(c)
+                if node is None:
+                    continue
+                more, piece = node
+                if more is not None:
+                    ahead.append((begin, more))
+                if piece < 0:
+                    continue
+                if merging:
+                    if found < 0:
+                        ok = known.get(last[begin] << 32 | piece)
+                        if m.follows(last[begin], piece) if ok is None else ok:
+                            found, length = piece, end - begin
+                else:
+                    sum_here = total[begin] + m.score[m.pieces[piece]]
+                    if found < 0 or sum_here > best:
+                        found, length, best = piece, end - begin, sum_here
+            if not merging and c not in trie:
+                sum_here = total[end - 1] - 1e6
+                if found < 0 or sum_here > best:
+                    found, length, best = m.no_piece(c), 1, sum_here
+            elif found < 0:
+                found = m.no_piece(c)
+            last.append(found)
+            size.append(length)
+            total.append(best)
+            alive = ahead
+            if not ahead:
+                out += self._commit(end)
+                end = 0
+            elif end >= window:
+                paths = [self._path(b) for b in (*(b for b, _ in ahead), end)]
+                boundary = max(set(paths[0]).intersection(*paths[1:]))
+                out += self._commit(boundary)
+                alive = [(b - boundary, nodes) for b, nodes in ahead]
+                end -= boundary
+        self.alive = alive
+        self.buffer = (self.buffer + text)[-end:] if end else ""
+        return out
 
     def _path(self, end: int) -> list[int]:
         out = [end]
         while end:
-            end -= len(self.last[end])
+            end -= self.size[end]
             out.append(end)
+        return out
+
+    def _commit(self, boundary: int) -> list[int]:
+        """The pieces up to a boundary that all surviving paths share; the window then begins there."""
+        last, size, at, out = self.last, self.size, boundary, []
+        while at:
+            out.append(last[at])
+            at -= size[at]
+        # with nothing behind the boundary no piece crosses it, so nothing after it depends on what was before
+        whole = boundary == len(last) - 1 and self.kind == "bpe"
+        del last[:boundary], size[:boundary], self.total[:boundary]
+        if whole:
+            last[0] = self.start
         return out[::-1]
 
-    def feed(self, text: str) -> list[str]:
-        out, longest = [], self.m.longest
-        for c in text:
-            self.buffer += c
-            end = len(self.buffer)
-            self._step(end)
-            if not self.alive:
-                out += self._commit(end)
-            elif end >= 4 * longest:
-                paths = [self._path(b) for b in (*self.alive, end)]
-                out += self._commit(max(set(paths[0]).intersection(*paths[1:])))
-        return out
+    def state(self) -> tuple:
+        return self.last[:], self.size[:], self.total[:], self.alive[:], self.buffer
 
-    def _commit(self, boundary: int) -> list[str]:
-        """The pieces up to a boundary that all surviving paths share."""
-        if not boundary:
-            return []
-        path = self._path(boundary)
-        out = [self.buffer[a:b] for a, b in zip(path, path[1:], strict=False)]
-        self.buffer, self.last, self.total = self.buffer[boundary:], self.last[boundary:], self.total[boundary:]
-        self.alive = [b - boundary for b in self.alive]
-        if not self.buffer and not self.alive and self.kind == "bpe":
-            self.last = [""]  # no piece crosses here, so nothing after it depends on what was before
-        return out
+    def resume(self, state: tuple) -> None:
+        """Goes on from a state of this stream."""
+        last, size, total, alive, self.buffer = state
+        self.last, self.size, self.total, self.alive = last[:], size[:], total[:], alive[:]
 
-    def close(self) -> list[str]:
-        out = self._commit(len(self.buffer))
-        self.last, self.alive = [""], []
+    def finish(self) -> list[int]:
+        out = self._commit(len(self.last) - 1)
+        self.last[0], self.alive, self.buffer = self.start, [], ""
         return out
 
 
@@ -169,39 +224,59 @@ class Encoder:
     def __init__(self, path: str, kind: str | None = None):
         self.m = Model(path)
         self.kind = kind or self.m.kind
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.stream = Stream(self.m, self.kind)
+        self.begun: dict[str, tuple] = {}
+        self.table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.known = Recent(self._run, WORD_CACHE)
+        self.parts = Recent(self._part, PART_CACHE, 32)
         if any(SPACE in p.lstrip(SPACE) for p in self.m.score):
             raise ValueError("pieces that hold a space after their start are not supported")
 
     def _part(self, part: str) -> bytes:
-        stream = Stream(self.m, self.kind)
-        pieces = stream.feed(part) + stream.close()
-        return np.array([i for p in pieces for i in self.m.ids_of(p)], "<u4").tobytes()
+        """The search over a part of a text; what it found after the first few characters is taken up again."""
+        m, stream, out, at = self.m, self.stream, [], 0
+        for n in STARTS:
+            if n >= len(part):
+                break
+            if (state := self.begun.get(part[:n])) is None:
+                out += stream.advance(part[at:n])
+                if len(self.begun) >= BEGUN_CACHE:
+                    self.begun.clear()
+                self.begun[part[:n]] = out[:], stream.state()
+            else:
+                out = state[0][:]
+                stream.resume(state[1])
+            at = n
+        ids = []
+        for i in out + stream.advance(part[at:]) + stream.finish():
+            if i < len(m.pieces):
+                ids.append(i)
+            else:
+                ids += m.ids_of(m.text_of[i])
+        return array("I", ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """A run of spaces with what follows, cut where no piece of the model can cross."""
         text, pairs, out, begin = word.replace(" ", SPACE), self.m.pairs, [], 0
-        for i in range(1, len(text) + 1):
-            if i == len(text) or text[i - 1 : i + 1] not in pairs:
-                part = text[begin:i]
+        if all(map(pairs.__contains__, map(add, text, text[1:]))):
+            return self.parts[text]
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                out.append(self.parts[text[begin:i]])
                 begin = i
-                got = self.parts.get(part)
-                if got is None:
-                    got = self._part(part)
-                    if len(part) <= 32:
-                        if len(self.parts) >= PART_CACHE:
-                            self.parts.clear()
-                        self.parts[part] = got
-                out.append(got)
+        out.append(self.parts[text[begin:]])
         return b"".join(out)
 
+    def _run(self, word: str) -> bytes:
+        """A word of ``words``; one without its single space, if the model puts a space before every text."""
+        return self._word(" " + word if self.m.prefix and word[0] != " " else word)
+
     def words(self, text: str) -> list[str]:
-        """Runs of spaces, each with the characters up to the next run."""
+        """Runs of spaces, each with the characters up to the next run; single spaces are left out if the model puts a space before every text."""
         text = text.replace(SPACE, " ")
         words = text.split(" ")
         if self.m.prefix and "" not in words:
-            return [" " + w for w in words]
+            return words
         out, gap = [], 1 if self.m.prefix else 0
         for i, w in enumerate(words):
             gap += i > 0
@@ -213,17 +288,20 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
-        known, out = self.known, []
-        for w in self.words(text):
-            got = known.get(w)
-            if got is None:
-                got = self._word(w)
-                if len(w) <= 64:
-                    if len(known) >= WORD_CACHE:
-                        known.clear()
-                    known[w] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(text))), "<u4")
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """What the ids stand for, put together, with the space before the text; control pieces are nothing."""
+        if self.table is None:
+            m = self.m
+            of = [m.byte_of.get(i) for i in range(len(m.pieces))]
+            raw = [bytes([b]) if b is not None else b"" if i in m.control else m.pieces[i].replace(SPACE, " ").encode() for i, b in enumerate(of)]
+            size = np.array([len(x) for x in raw])
+            self.table = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
+        data, start, size = self.table
+        n = size[ids]
+        ends = np.cumsum(n)
+        return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - ends + n, n)].tobytes()
 
     def decode(self, ids) -> str:
         m, out, raw = self.m, [], bytearray()
@@ -243,14 +321,15 @@ class Encoder:
         return text[1:] if m.prefix and text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, kind: str | None) -> Encoder:
+    """A Python worker's own encoder: its remembered words serve all its tasks."""
+    return Encoder(path, kind)
+
+
 def _encode(path: str, kind: str | None):
     def run(batches):
-        enc = Encoder(path, kind)
-        table = [p.replace(SPACE, " ").encode() for p in enc.m.pieces]
-        for i, b in enc.m.byte_of.items():
-            table[i] = bytes([b])
-        for i in enc.m.control:
-            table[i] = b""
+        enc = encoder(path, kind)
         skip = 1 if enc.m.prefix else 0
         for batch in batches:
             values, n, same = [], [], []
@@ -258,12 +337,12 @@ def _encode(path: str, kind: str | None):
                 ids = enc.encode(raw.decode("utf-8", "replace"))
                 values.append(ids)
                 n.append(len(ids))
-                same.append(b"".join([table[i] for i in ids.tolist()])[skip:] == raw)
+                same.append(enc.bytes_of(ids)[skip:] == raw)
             flat = np.concatenate(values) if values else np.empty(0, "<u4")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
 
-    return run
+    return uncollected(run)
 
 
 def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", kind: str | None = None) -> DataFrame:
