@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,9 +32,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     e = cut(e, name)
     before = None
     while True:
-        e = cut(_star(_star(e, True), False), name)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        last, e = e, cut(_star(_star(e, True), False), name)
+        discard(last)
+        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before or not state[0]:
             break
         before = state
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

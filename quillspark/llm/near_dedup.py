@@ -3,18 +3,19 @@
 1. Each text becomes its set of hashed word shingles. Equal sets are one class, stood for by its least id.
 2. ``BANDS`` x ``ROWS`` MinHash samples per class give band keys; the samples folded into a parity bitmap
    give the odd sketch. With 40 bands of 5, a pair of similarity 0.8 shares no band with probability 1e-7.
-3. Band buckets are searched in rounds. In a round each class outside the largest component of one of its
-   buckets is tested against one representative of such components, the one whose odd sketch is nearest.
-   The population count of two sketches' XOR estimates the similarity; candidates far under the
-   threshold (five standard errors) are dropped, the others are confirmed on their full shingle sets.
-   A pair in one component needs no test, so a bucket of g near copies costs about g tests, not g squared.
-4. Classes that are still outside after ``ROUNDS_OF_STARS`` rounds meet every class that shares a bucket
-   with them: as a query set, in blocks of ``BLOCK`` against blocks of their cluster of buckets. Only
-   confirmed links leave a block, so no pair that could join two components is left out, and none is listed.
+3. Each class is tested against one of two representatives of each of its band buckets, the one whose odd sketch
+   is nearest. The population count of two sketches' XOR estimates the similarity; candidates far under
+   the threshold (five standard errors) are dropped, the others are confirmed on their full shingle sets.
+   So a group of g near copies costs about g tests, not g squared.
+4. A bucket whose members then lie in several components is searched whole: in buckets of up to ``CROWD``
+   classes each pair from two components is screened by the sketches and confirmed; in larger ones
+   the classes outside the bucket's largest component are a query set that meets all others in blocks of
+   ``BLOCK`` x ``BLOCK``, keyed by the bucket. Only confirmed links leave a block. So no pair that could join two
+   components is left out, and the pairs within a large group are never listed.
 5. Components of the confirmed links, then every copy gets the component of its class.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Rows that repeat an id
-share a component; a null id is linked with nothing and kept. An empty table gives an empty result.
+share a component; a null id, or one that is no whole number, is linked with nothing and kept. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, hashed_docs, pick, shingles, small_batches, utf8
+from .common import U64, cut, discard, hashed_docs, pick, shingles, small_batches, unused, utf8
 from .components import components
 
 BANDS, ROWS, SKETCH_LONGS = 40, 5, 8
@@ -37,7 +38,7 @@ _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SLOT = np.arange(SAMPLES, dtype=U64) << U64(32)
-ROUNDS_OF_STARS, BLOCK = 2, 256
+CROWD, BLOCK = 64, 256
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ def _confirm(k: int, percent: int):
 
 def signatures(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
-    d = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
+    d = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").try_cast("long"))
     return d.mapInArrow(_signatures(k), "id long, n_shingles long, h1 long, h2 long, bands array<long>, odd array<long>")
 
 
@@ -152,9 +153,9 @@ def _blocks(k: int, percent: int, limit: int):
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                if (r["cluster"], r["bq"], r["bo"]) != key:
+                if (r["key"], r["bq"], r["bo"]) != key:
                     found += links(rows)
-                    key, rows = (r["cluster"], r["bq"], r["bo"]), []
+                    key, rows = (r["key"], r["bq"], r["bo"]), []
                 rows.append(r)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
         found = list(links(rows))
@@ -173,23 +174,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return cut(two.mapInArrow(_confirm(k, percent), "a long, b long"), "near-links")
 
 
-def _rest(now: DataFrame, heads: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, limit: int) -> DataFrame:
-    """Links of the classes outside the largest component of their cluster of buckets, in blocks."""
-    act = cut(now.join(heads.select("key"), "key", "left_semi"), "near-active")
-    stars = act.join(act.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b")
-    cluster = components(stars, "near-clusters").withColumnRenamed("component", "cluster")
-    member = act.select("id", "comp").distinct().join(cluster, F.col("id") == F.col("node")).drop("node")
-    sizes = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("main"))
-    main = main.select("cluster", "m", (F.col("m") - F.col("main.n")).alias("q"), F.col("main.comp").alias("main"))
-    member = member.join(main, "cluster").withColumns({"nq": F.ceil(F.col("q") / BLOCK).cast("int"), "no": F.ceil(F.col("m") / BLOCK).cast("int"), "spread": F.xxhash64("id")})
-    queries = member.filter("comp <> main").select("id", "comp", "cluster", F.lit(0).alias("side"), F.pmod("spread", "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("bo"))
-    others = member.select("id", "comp", "cluster", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), F.pmod("spread", "no").cast("int").alias("bo"))
-    whole = reps.join(member.select("id"), "id", "left_semi").join(texts, "id")
+def _crowds(now: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, limit: int) -> DataFrame:
+    """Of large buckets (key, id, comp), the links of the classes outside the largest component, in blocks."""
+    sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("comp", "n").alias("main"))
+    main = main.select("key", "main", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("nq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("no"))
+    member = cut(now.join(main, "key").withColumn("spread", F.xxhash64("id")), "near-members")  # stored, as ties for the largest are free
+    queries = member.filter("comp <> main").select("id", "comp", "key", F.lit(0).alias("side"), F.pmod("spread", "nq").cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("bo"))
+    others = member.select("id", "comp", "key", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), F.pmod("spread", "no").cast("int").alias("bo"))
+    whole = reps.join(member.select("id").distinct(), "id", "left_semi").join(texts, "id")
     rows = queries.union(others).join(whole, "id")
     parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "cluster", "bq", "bo").sortWithinPartitions("cluster", "bq", "bo")
-    return cut(rows.mapInArrow(_blocks(k, percent, limit), "a long, b long"), "near-links")
+    rows = rows.repartition(parts, "key", "bq", "bo").sortWithinPartitions("key", "bq", "bo")
+    found = cut(rows.mapInArrow(_blocks(k, percent, limit), "a long, b long"), "near-links")
+    discard(member)
+    return found
 
 
 def link(docs: DataFrame, sigs: DataFrame, k: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -198,35 +197,27 @@ def link(docs: DataFrame, sigs: DataFrame, k: int, percent: int, doc_id: str = "
     full = sigs.filter("n_shingles > 0 and id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     reps = cut(full.join(classes.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", "h1", "h2"]).select("id", "bands", "odd"), "near-reps")
+    texts = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").try_cast("long"))
     rows = reps.select("id", F.explode("bands").alias("key"))
-    several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    rows = cut(rows.join(several, "key", "left_semi"), "near-buckets")
-    texts = pick(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    comp = edges = tested = None
-    for step in range(ROUNDS_OF_STARS + 1):
-        now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp, rows["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        # hashes of (id, round) choose the representatives, alike in all buckets, so that they coincide
-        order = F.xxhash64("id", F.lit(step)) if step else F.col("id")
-        groups = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), "id")).alias("one"))
-        heads = groups.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", (-F.col("comp")).alias("c"), "one.id")).alias("head")).filter("comps > 1")
-        heads = cut(heads.select("key", F.col("head.id").alias("head"), (-F.col("head.c")).alias("head_comp")), "near-heads")
-        if heads.isEmpty():
-            break
-        if step == ROUNDS_OF_STARS:
-            found = _rest(now, heads, reps, texts, k, percent, limit)
-        else:
-            p = now.join(heads, "key").filter("comp <> head_comp").select("id", "head").distinct()
-            if tested is not None:
-                p = p.join(tested, (F.col("id") == F.col("b")) & (F.col("head") == F.col("a")), "left_anti")
-            p = p.join(reps.select("id", F.col("odd").alias("ox")), "id").join(reps.select(F.col("id").alias("head"), F.col("odd").alias("oy")), "head")
-            best = p.select("id", "head", _differences("ox", "oy").alias("d")).filter(F.col("d") <= limit).groupBy("id").agg(F.min(F.struct("d", "head")).alias("best"))
-            todo = cut(best.select(F.col("best.head").alias("a"), F.col("id").alias("b")), "near-pairs")
-            tested = todo if tested is None else tested.union(todo)
-            found = _confirmed(todo, texts, k, percent)
-        edges = found if edges is None else edges.union(found)
-        comp = cut(components(edges, "near-components"), "near-components")
-    if comp is None:
-        comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min_by("id", F.xxhash64("id")).alias("other")).filter("n > 1")
+    rows = cut(rows.join(heads, "key"), "near-buckets")
+    p = rows.select("id", F.explode(F.array("first", "other")).alias("head")).filter("id <> head").distinct()
+    p = p.join(reps.select("id", F.col("odd").alias("ox")), "id").join(reps.select(F.col("id").alias("head"), F.col("odd").alias("oy")), "head")
+    near = p.select("id", "head", _differences("ox", "oy").alias("d")).filter(F.col("d") <= limit).groupBy("id").agg(F.min_by("head", "d").alias("a"))
+    todo = cut(near.select("a", F.col("id").alias("b")), "near-pairs")  # stored, as ties for the nearest are free
+    one = _confirmed(todo, texts, k, percent)
+    comp = components(one, "near-components")
+
+    now = rows.join(comp, rows["id"] == comp["node"], "left").select("key", "n", "id", F.coalesce("component", "id").alias("comp"))
+    open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    now = cut(now.join(open_keys, "key", "left_semi"), "near-open")
+    few = now.filter(F.col("n") <= CROWD).select("key", "id", "comp").join(reps.select("id", "odd"), "id")
+    x, y = (few.select("key", F.col("id").alias(i), F.col("comp").alias(f"c{i}"), F.col("odd").alias(f"o{i}")) for i in ("a", "b"))
+    pairs = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_differences("oa", "ob") <= limit)).select("a", "b").distinct()
+    two = _confirmed(pairs, texts, k, percent)
+    three = _crowds(now.filter(F.col("n") > CROWD).drop("n"), reps, texts, k, percent, limit)
+    comp = components(one.union(two).union(three), "near-components")
+    discard(rows, todo, now, one, two, three, reps)
     return classes, comp
 
 
@@ -242,5 +233,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component."""
-    gone = near_duplicates(docs, k, percent, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__id"], "left_anti")
+    (key,) = unused(docs, "id")
+    gone = near_duplicates(docs, k, percent, doc_id, text).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`").try_cast("long") == F.col(key), "left_anti")
