@@ -2,10 +2,14 @@
 
 Every text is measured once. The sketch is a histogram over geometric buckets (relative error of
 about 1 %): counts add, so sketches of any split of the rows merge to the same one, whatever the order
-of tasks, and quantiles are reproducible. A group's cut-off is its upper quartile plus a multiple of the
-distance between quartiles (for the mean word length also the lower side), never tighter than a floor.
-Groups under ``min_group`` rows use the merged sketch of their language, and languages under it the
-merged sketch of all rows.
+of tasks, and quantiles are reproducible. Sketches take the rows that pass the base rules.
+
+A ratio is smoothed: (count + 1) / (size + weight), so that a few symbols in a short text are no large
+ratio and a group without any still has a spread. A group's cut-off lies, on a logarithmic scale, a
+multiple of the distance between its quartiles above the upper one (for the mean word length also below
+the lower one). There is no fixed cut-off. The quartiles of a group of n rows are drawn towards those of
+its language, and those of a language towards those of all rows, with the weight of ``prior`` rows, so a
+small group has its cut-offs mostly from its language and a large one from itself, without a switch.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources are groups of
 their own. Repeated rows are measured and returned row by row; an empty table gives an empty result;
@@ -22,16 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, cut, doc_chunks, mix, pick, small_batches, utf8, word_hashes
+from .common import U64, cut, doc_chunks, mix, pick, small_batches, unused, utf8, word_hashes
 
 GAMMA = 1.02
 WINDOW_WORDS = 8
-#: metric -> (sides, floor on the distance from the quartile, absolute floor of an upper cut-off)
+#: metric -> (count, size, weight in the smoothed ratio, sides, distances between quartiles up to the cut-off)
 METRICS = {
-    "symbol_ratio": ("upper", 0.05, 0.1),
-    "upper_ratio": ("upper", 0.15, 0.3),
-    "dup_line_ratio": ("upper", 0.2, 0.5),
-    "word_length": ("both", 1.5, 0.0),
+    "symbol_ratio": ("n_symbols", "n_words", 100, "upper", 3.0),
+    "upper_ratio": ("n_upper", "word_chars", 50, "upper", 4.0),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 10, "upper", 3.0),
+    "word_length": ("word_chars", "n_words", None, "both", 4.0),
 }
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -107,17 +111,14 @@ def base_failed() -> Column:
 
 
 def with_metrics(m: DataFrame) -> DataFrame:
-    """Ratios, 0 where there is nothing to divide by."""
+    """The metrics: smoothed ratios, and the mean word length (0 without words)."""
 
-    def ratio(a: str, b: str) -> Column:
-        return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    def ratio(count: str, size: str, weight: int | None) -> Column:
+        if weight is None:
+            return F.when(F.col(size) > 0, F.col(count) / F.col(size)).otherwise(F.lit(0.0))
+        return (F.col(count) + 1) / (F.col(size) + weight)
 
-    return m.withColumns({
-        "symbol_ratio": ratio("n_symbols", "n_words"),
-        "upper_ratio": ratio("n_upper", "word_chars"),
-        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-        "word_length": ratio("word_chars", "n_words"),
-    })
+    return m.withColumns({name: ratio(*spec[:3]) for name, spec in METRICS.items()})
 
 
 def sketch(m: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:
@@ -144,33 +145,34 @@ def quantiles(sketches: DataFrame, keys: list[str], qs: dict[str, float]) -> Dat
     )
 
 
-def thresholds(m: DataFrame, min_group: int = 100, spread: float = 3.0) -> DataFrame:
-    """lang, source and a struct low/high for each metric."""
-    fine = cut(sketch(with_metrics(m), ["lang", "source"]), "quality-sketch")
+def thresholds(m: DataFrame, prior: float = 100.0) -> DataFrame:
+    """lang, source, and low and high of each metric."""
+    fine = cut(sketch(with_metrics(m.filter(~base_failed())), ["lang", "source"]), "quality-sketch")
     qs = {"q1": 0.25, "q3": 0.75}
     own = quantiles(fine, ["lang", "source"], qs)
     of_lang = quantiles(merge(fine, ["lang"]), ["lang"], qs)
     of_all = quantiles(merge(fine, []), [], qs)
     level = own.alias("o").join(of_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric"))).join(of_all.alias("a"), F.col("o.metric") == F.col("a.metric"))
 
+    def drawn(n: str, here: Column, there: Column) -> Column:
+        return (F.col(n) * here + prior * there) / (F.col(n) + prior)
+
     def q(name: str) -> Column:
-        return F.when(F.col("o.size") >= min_group, F.col(f"o.{name}")).when(F.col("l.size") >= min_group, F.col(f"l.{name}")).otherwise(F.col(f"a.{name}"))
+        return drawn("o.size", F.log(f"o.{name}"), drawn("l.size", F.log(f"l.{name}"), F.log(f"a.{name}")))
 
     level = level.select("o.lang", "o.source", "o.metric", q("q1").alias("q1"), q("q3").alias("q3"))
     out = []
-    for name, (sides, reach, least) in METRICS.items():
-        wide = F.greatest(F.lit(spread) * (F.col("q3") - F.col("q1")), F.lit(reach))
-        high = F.greatest(F.col("q3") + wide, F.lit(least))
-        low = F.col("q1") - wide if sides == "both" else F.lit(-1.0)
-        here = F.col("metric") == name
-        out += [F.max(F.when(here, low)).alias(f"{name}_low"), F.max(F.when(here, high)).alias(f"{name}_high")]
+    for name, (*_, sides, reach) in METRICS.items():
+        wide, here = reach * (F.col("q3") - F.col("q1")), F.col("metric") == name
+        out.append(F.max(F.when(here, F.exp(F.col("q3") + wide))).alias(f"{name}_high"))
+        out.append(F.max(F.when(here, F.exp(F.col("q1") - wide) if sides == "both" else F.lit(0.0))).alias(f"{name}_low"))
     return level.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, min_group: int = 100, spread: float = 3.0, **columns: str) -> DataFrame:
+def judge(docs: DataFrame, prior: float = 100.0, **columns: str) -> DataFrame:
     """A row for each document: its counts, base_failed and kept."""
     m = cut(measure(docs, **columns), "quality-measures")
-    t = thresholds(m, min_group, spread)
+    t = thresholds(m, prior)
     x = with_metrics(m).alias("m").join(t.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     inside = F.lit(True)
     for name in METRICS:
@@ -185,5 +187,6 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id go or stay together: they stay if one of them is kept.
     """
     name = options.get("doc_id", "doc_id")
-    good = judge(docs, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, docs[name].eqNullSafe(good["__id"]), "left_semi")
+    (key,) = unused(docs, "id")
+    good = judge(docs, **options).filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(good, F.col(f"`{name}`").eqNullSafe(F.col(key)), "left_semi")
