@@ -17,18 +17,29 @@ empty result; extra columns are kept by ``sample`` and ignored by ``probabilitie
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, hashed_docs, pick, small_batches, utf8
+from .common import U64, cut, hashed_docs, pick, small_batches, unused, utf8
 
 FEATURES, TOPICS, ROUNDS = 64, 8, 20
 #: Features are added up as whole numbers of this fraction.
 UNIT = 1 << 24
-#: Cells up to which raking runs in the driver (a few MB); beyond, each step is a query over the cells.
+#: Cells up to which raking runs in the driver (a few MB); beyond, each step is a query over the cells, with the same
+#: steps, tolerance and limit of rounds.
 DRIVER_CELLS = 100_000
+TOLERANCE, GAIN, RAKE_ROUNDS = 1e-9, 1e-4, 200
+
+
+def settled(worst: float, before: float) -> bool:
+    """Whether raking ends: the margins agree, or, if no cells can meet them all, a round gains next to nothing."""
+    return worst < TOLERANCE or worst > (1 - GAIN) * before
+
+
 MARGINS = ("source", "lang", "topic")
 
 
@@ -153,17 +164,17 @@ def flat_targets(shares: dict, flatten: float) -> dict:
     return {k: v / total for k, v in up.items()}
 
 
-def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-9, rounds: int = 200) -> np.ndarray:
+def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
     """Cells scaled until their sums over each coding are the targets."""
-    w = cells.astype(np.float64).copy()
-    for _ in range(rounds):
-        worst = 0.0
+    w, worst = cells.astype(np.float64).copy(), np.inf
+    for _ in range(RAKE_ROUNDS):
+        before, worst = worst, 0.0
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, weights=w, minlength=len(target))
             factor = np.divide(target, now, out=np.zeros_like(target), where=now > 0)
             worst = max(worst, float(np.abs(now - target)[now > 0].max(initial=0)) / max(target.sum(), 1e-300))
             w *= factor[code]
-        if worst < tolerance:
+        if settled(worst, before):
             break
     return w
 
@@ -204,28 +215,39 @@ def _rake_cells(cells: DataFrame, targets: dict, flatten: float, share: float) -
     return cells.sparkSession.createDataFrame(out, ", ".join(f"{m} {kind[m]}" for m in MARGINS) + ", weight double, p double")
 
 
-def _rake_table(cells: DataFrame, targets: dict, flatten: float, share: float, rounds: int = 25) -> DataFrame:
+def _rake_table(cells: DataFrame, targets: dict, flatten: float, share: float) -> DataFrame:
     """The same, step by step over a table of cells of any size."""
     spark = cells.sparkSession
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.select(*MARGINS, F.lit(1.0).alias("weight"), F.lit(float(share)).alias("p"))
     w = cells.withColumn("w", F.col("tokens").cast("double"))
     goals = {}
     for m in MARGINS:
+        there = cells.groupBy(F.col(m).alias("v")).agg((F.sum("tokens") / total).alias("now"))
         if targets.get(m):
-            t = spark.createDataFrame(list(targets[m].items()), f"v {dict(cells.dtypes)[m]}, goal double")
+            t = spark.createDataFrame(list(targets[m].items()), f"u {dict(cells.dtypes)[m]}, goal double")
+            t = there.join(t, there["v"].eqNullSafe(t["u"]), "left").select("v", F.coalesce("goal", F.lit(0.0)).alias("goal"))
         else:
-            t = cells.groupBy(F.col(m).alias("v")).agg(F.pow(F.sum("tokens") / total, F.lit(flatten)).alias("goal"))
-        whole = float(t.agg(F.sum("goal")).first()[0])
+            t = there.select("v", F.when(F.col("now") > 0, F.pow("now", F.lit(flatten))).otherwise(0.0).alias("goal"))
+        whole = max(float(t.agg(F.sum("goal")).first()[0]), 1e-300)
         goals[m] = cut(t.withColumn("goal", F.col("goal") * (total / whole)), "mix-goals")
-    for _ in range(rounds):
+    worst = float("inf")
+    for _ in range(RAKE_ROUNDS):
+        before, worst = worst, 0.0
         for m in MARGINS:
-            now = w.groupBy(F.col(m).alias("v")).agg(F.sum("w").alias("now")).alias("n").join(goals[m].alias("g"), F.col("n.v").eqNullSafe(F.col("g.v")), "left").select("n.v", (F.coalesce("goal", F.lit(0.0)) / F.col("now")).alias("f"))
-            w = w.join(now, w[m].eqNullSafe(now["v"]), "left").select(*MARGINS, "tokens", (F.col("w") * F.coalesce("f", F.lit(0.0))).alias("w"))
+            now = w.groupBy(F.col(m).alias("v")).agg(F.sum("w").alias("now")).alias("n").join(goals[m].alias("g"), F.col("n.v").eqNullSafe(F.col("g.v")))
+            now = cut(now.select("n.v", "now", "goal", F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("f")), "mix-factors")
+            worst = max(worst, (now.agg(F.max(F.when(F.col("now") > 0, F.abs(F.col("now") - F.col("goal"))))).first()[0] or 0.0) / total)
+            w = w.join(now.select("v", "f"), w[m].eqNullSafe(now["v"])).select(*MARGINS, "tokens", (F.col("w") * F.col("f")).alias("w"))
         w = cut(w, "mix-cells")
+        if settled(worst, before):
+            break
     w = w.withColumn("weight", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0))
-    low, high = 0.0, float(1 / w.filter("weight > 0").agg(F.min("weight")).first()[0])
-    for _ in range(50):
-        mid = (low + high) / 2
+    ends = w.filter("weight > 0").agg(F.min("weight"), F.max("weight")).first()
+    low, high = share / ends[1], 1 / ends[0]
+    while high > low * (1 + 1e-9):  # halves the logarithm, as weights may differ by many powers of ten
+        mid = math.sqrt(low) * math.sqrt(high)
         drawn = w.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), mid * F.col("weight")))).first()[0]
         low, high = (mid, high) if drawn < share * total else (low, mid)
     return w.select(*MARGINS, "weight", F.least(F.lit(1.0), high * F.col("weight")).alias("p"))
@@ -246,5 +268,6 @@ def probabilities(docs: DataFrame, share: float = 0.5, targets: dict | None = No
 
 def sample(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The drawn rows of docs, with all their columns."""
-    drawn = probabilities(docs, doc_id=doc_id, **options).filter("sampled").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drawn, docs[doc_id].eqNullSafe(drawn["__id"]), "left_semi")
+    (key,) = unused(docs, "id")
+    drawn = probabilities(docs, doc_id=doc_id, **options).filter("sampled").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(drawn, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left_semi")
