@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,12 @@ class Ids:
         return np.frombuffer(b"".join(out) + (self.last if end else b""), "<u2")
 
 
+@lru_cache(maxsize=2)
+def subword_ids(vocabulary: tuple[str, str]) -> Ids:
+    """A Python worker's own encoder: its remembered words serve all its tasks."""
+    return Ids(vocabulary)
+
+
 def _gather(vocabulary: tuple[str, str]):
     """Rows of (word hash, count) and of each text's key and ids (h null)."""
 
@@ -103,7 +110,7 @@ def _gather(vocabulary: tuple[str, str]):
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.binary())], names=["h", "n", "key", "ids"])
 
     def run(batches):
-        ids, parts, held = Ids(vocabulary), [], 0
+        ids, parts, held = subword_ids(vocabulary), [], 0
         for batch in batches:
             texts = utf8(batch.column("text"), lower=True)
             for a, b in doc_chunks(texts):
@@ -226,7 +233,7 @@ def train(texts: DataFrame, leaf: np.ndarray, prior: tuple, n_ids: int) -> np.nd
 def _score(vocabulary: tuple[str, str], shared):
     def run(batches):
         flat, prior, leaf, within, top, logs = shared.value
-        p, ids, task, row = net.views(flat), Ids(vocabulary), TaskContext.get().partitionId(), 0
+        p, ids, task, row = net.views(flat), subword_ids(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = utf8(batch.column("text"), lower=True)
             score = np.zeros(len(texts))
