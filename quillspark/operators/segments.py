@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Section headers, sub-section headers, list items.
-SECTION = r"(?iu)^\s*(?:Section|Sec\.)\s*\d+"
-SUB_HEADERS = [r"^\s*\d+-\d+\.", r"^\s*[A-Z]\.\s", r"^\s*[IVXLC]+\.\s"]
-BULLET = r"^\s*[•●*\-–—]\s+"
-ITEM = r"(?i)^\s*(?:\([a-z0-9ivx]{1,4}\)|\d{1,2}[.)]|[a-z][.)])\s"
+#: Section headers, sub-section headers, list items, embedded section starts, sentence ends.
+SECTION = r"(?iU)^(Section|Sec\.)\s+\d+\s*\.(?!\d)"
+SUB_HEADERS = [r"(?U)^\d+-\d+\.\s+\S", r"(?U)^[A-Z]\.\s+[A-Za-z]", r"(?U)^[IVX]{2,}\.\s+[A-Za-z]"]
+BULLET = r"(?U)^[•\-\*]\s"
+ITEM = r"(?iU)^(\(\d+\)|\([a-z]\)|\([ivxlcdm]+\)|\d+\.)\s"
+EMBEDDED = r"(?iU)(?<=[.!?:])\s+(?=(?:(?:Section|Sec\.)\s+\d+\s*\.(?!\d)|\d+-\d+\.\s+\S))"
+SENTENCE_END = r"(?U)(?<![A-Z]\.)(?<=[.!?])\s+(?=[A-Z(])"
 
 
 def paragraphs(docs: DataFrame, delimiter: str = r" {2,}") -> DataFrame:
@@ -27,7 +29,7 @@ def is_header(c: Column) -> Column:
 
 
 def is_list_item(c: Column, longest: int = 400) -> Column:
-    return c.rlike(BULLET) | (c.rlike(ITEM) & (F.length(c) < longest) & ~c.contains("....."))
+    return c.rlike(BULLET) | (c.rlike(ITEM) & (F.length(c) < longest) & ~c.contains("..."))
 
 
 def ends_incomplete(c: Column) -> Column:
@@ -36,23 +38,29 @@ def ends_incomplete(c: Column) -> Column:
 
 def resplit_sections(c: Column) -> Column:
     """Parts of a paragraph: it is cut before a section header that follows the end of a sentence."""
-    return F.split(c, r"(?<=[.!?:])\s+(?=(?:Sec\.|Section)\s+\d+\.)")
+    return F.split(c, EMBEDDED)
 
 
 def sentences(c: Column) -> Column:
-    """Sentences, not cut inside parentheses."""
-    raw = F.split(c, r"(?<=[.!?])\s+(?=[\p{Lu}(])")
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
-
-    def depth(s):
-        return F.length(F.regexp_replace(s, r"[^(]", "")) - F.length(F.regexp_replace(s, r"[^)]", ""))
-
-    def step(acc, s):
-        whole = F.when(acc["held"] == "", s).otherwise(F.concat(acc["held"], F.lit(" "), s))
-        is_open = depth(whole) > 0
-        return F.struct(F.when(is_open, acc["out"]).otherwise(F.concat(acc["out"], F.array(whole))).alias("out"), F.when(is_open, whole).otherwise("").alias("held"))
-
-    return F.aggregate(raw, zero, step, lambda a: F.when(a["held"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["held"]))))
+    """Sentences, not cut inside parentheses; the depth of parentheses never falls under 0."""
+    ends = F.split(c, SENTENCE_END)
+    gaps = F.concat(F.regexp_extract_all(c, F.lit(SENTENCE_END), F.lit(0)), F.array(F.lit("")))
+    pieces = F.zip_with(ends, gaps, lambda s, g: F.struct(s.alias("s"), g.alias("g")))
+    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit("").alias("gap"), F.lit(0).alias("depth"))
+
+    def depth(start, s):
+        marks = F.split(F.regexp_replace(s, r"[^()]", ""), "")
+        return F.aggregate(marks, start, lambda d, m: F.greatest(F.lit(0), d + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)))
+
+    def step(acc, x):
+        whole, now = F.concat(acc["held"], acc["gap"], x["s"]), depth(acc["depth"], x["s"])
+        is_open = now > 0
+        return F.struct(
+            F.when(is_open, acc["out"]).otherwise(F.concat(acc["out"], F.array(whole))).alias("out"),
+            F.when(is_open, whole).otherwise("").alias("held"), F.when(is_open, x["g"]).otherwise("").alias("gap"), now.alias("depth"),
+        )
+
+    return F.aggregate(pieces, zero, step, lambda a: F.when(a["held"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["held"]))))
 
 
 def number(rows: DataFrame, by: str, order: str, form: str = "%s:oa:%03d") -> DataFrame:

@@ -26,7 +26,7 @@ def mask(docs: DataFrame, merged: DataFrame, label: str = "[AUTHORITY]", id: str
     begins = F.concat(F.array(F.lit(0)), F.col("s.end"))
     ends = F.concat(F.col("s.start"), F.array(F.length("text")))
     kept = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    return x.select(id, F.array_join(kept, label).alias("text"), F.size("s").cast("long").alias("n_masked"))
+    return x.select(id, F.when(F.col("text").isNotNull(), F.array_join(kept, label)).alias("text"), F.size("s").cast("long").alias("n_masked"))
 
 
 def drop_sections(paragraphs: DataFrame, by: list[str], order: str, starts: str, continues: str) -> DataFrame:

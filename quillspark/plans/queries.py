@@ -716,3 +716,6 @@ def sta10_unit_status(t):
 @query("SELECT conv_id, bool_or(role = 'system') AS any_system, max(CASE WHEN role = 'user' THEN length(text) END) AS longest FROM conversations GROUP BY conv_id")
 def udf06_roll_up(t):
     return t("conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("any_system"), F.max(F.when(F.col("role") == "user", F.length("text").cast("bigint"))).alias("longest"))
+
+
+from . import golden, more  # noqa: E402, F401  registers its queries

@@ -24,6 +24,6 @@ def write_by_category(df: DataFrame, path: str, category: str, text: str = "text
     df.withColumn(text, F.left(F.col(text), F.lit(longest))).write.mode("overwrite").partitionBy(category).parquet(path)
 
 
-def payload(df: DataFrame) -> DataFrame:
-    """Rows as JSON that may stand inside an HTML script element."""
-    return df.select(F.replace(F.to_json(F.struct(*df.columns)), F.lit("</"), F.lit("<\\/")).alias("json"))
+def payload(df: DataFrame, nulls: bool = False) -> DataFrame:
+    """Rows as JSON that may stand inside an HTML script element; missing fields are left out or, on demand, null."""
+    return df.select(F.replace(F.to_json(F.struct(*df.columns), {"ignoreNullFields": str(not nulls).lower()}), F.lit("</"), F.lit("<\\/")).alias("json"))
