@@ -7,7 +7,8 @@ of tasks, and quantiles are reproducible. Sketches take the rows that pass the b
 A ratio is smoothed: (count + 1) / (size + weight), so that a few symbols in a short text are no large
 ratio and a group without any still has a spread. A group's cut-off lies, on a logarithmic scale, a
 multiple of the distance between its quartiles above the upper one (for the mean word length also below
-the lower one). There is no fixed cut-off. The quartiles of a group of n rows are drawn towards those of
+the lower one), and beyond that by the sketch's own error, so that a group without spread keeps its rows.
+There is no fixed cut-off. The quartiles of a group of n rows are drawn towards those of
 its language, and those of a language towards those of all rows, with the weight of ``prior`` rows, so a
 small group has its cut-offs mostly from its language and a large one from itself, without a switch.
 
@@ -164,8 +165,8 @@ def thresholds(m: DataFrame, prior: float = 100.0) -> DataFrame:
     out = []
     for name, (*_, sides, reach) in METRICS.items():
         wide, here = reach * (F.col("q3") - F.col("q1")), F.col("metric") == name
-        out.append(F.max(F.when(here, F.exp(F.col("q3") + wide))).alias(f"{name}_high"))
-        out.append(F.max(F.when(here, F.exp(F.col("q1") - wide) if sides == "both" else F.lit(0.0))).alias(f"{name}_low"))
+        out.append(F.max(F.when(here, GAMMA * F.exp(F.col("q3") + wide))).alias(f"{name}_high"))
+        out.append(F.max(F.when(here, F.exp(F.col("q1") - wide) / GAMMA if sides == "both" else F.lit(0.0))).alias(f"{name}_low"))
     return level.groupBy("lang", "source").agg(*out)
 
 

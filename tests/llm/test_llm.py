@@ -626,3 +626,50 @@ def test_word_hashes():
     texts = [b"a bb  a\n\x0bccc", b"", b" ", "é a".encode()]
     h = list(hashed_docs(texts))
     assert [len(x) for x in h] == [4, 0, 0, 2] and h[0][0] == h[0][2] == h[3][1] and len(set(np.concatenate(h).tolist())) == 4
+
+
+AWKWARD = [
+    "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a²2 ²a ٣3 café! it's 'll x.y. ..a  b \n\n c d　 e!? ſ ǅ ab́c", "日本語、テスト。 word,,word .word", "a b\nc, d e",
+    "a  b\tc\x1cd", "\n", " ", "one\ntwo", "x\u0085y z", "a- b", "don't I'll we'd, \"x\" (y).", "",
+]
+
+
+def test_token_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(AWKWARD, add_special_tokens=False)]
+    e = token_store.WordEncoder(path)
+    assert [np.frombuffer(e.encode(x), e.dtype).tolist() for x in AWKWARD] == want and want[0] == [87, 220, 50256, 331]
+
+
+def test_quality_cutoffs_follow_the_groups(spark):
+    """Cut-offs differ between groups, so one symbol ratio is kept in one source and not in the other."""
+    rng = np.random.default_rng(6)
+
+    def prose(share):
+        w = ["".join(rng.choice(list("aeinorst"), rng.integers(3, 8))) + ("#" if rng.random() < share else "") for _ in range(rng.integers(100, 160))]
+        return " ".join(w)
+
+    rows = [(i, prose(0.0), "en", "plain") for i in range(150)] + [(1000 + i, prose(0.3), "en", "tables") for i in range(150)] + [(1, prose(0.3), "en", "plain"), (2, prose(0.3), "en", "tables")]
+    rows[-2], rows[-1] = (9001, *rows[-2][1:]), (9002, *rows[-1][1:])
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows)).collect()}
+    assert not kept[9001] and kept[9002]
+
+
+def test_reserved_names_do_not_clash(spark, docs):
+    d = docs.select("*", F.lit(1).alias("id"), F.lit(2).alias("_id"), F.lit("x").alias("removed"), F.lit(True).alias("stays"), F.lit(3).alias("__id"))
+    for stage in (line_dedup.drop_later_lines, near_dedup.keep_first, quality.keep_good, mixing.sample):
+        assert stage(d).columns == d.columns
+        stage(d).collect()
+
+
+def test_mixing_against_plain_fitting():
+    """Raked cells have the targets as their sums over every margin, where cells can meet them."""
+    rng = np.random.default_rng(9)
+    cells = rng.integers(1, 1000, 60).astype(float)
+    codes = [np.arange(60) % 3, np.arange(60) // 3 % 4, np.arange(60) // 12]
+    targets = [cells.sum() * x / x.sum() for x in (rng.random(k) + 0.1 for k in (3, 4, 5))]
+    w = mixing.rake(cells, codes, targets)
+    for c, t in zip(codes, targets, strict=True):
+        assert np.bincount(c, weights=w) == pytest.approx(t, rel=1e-6)
