@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lm_model as net
-from .common import U64, cut, doc_chunks, hashed_docs, pick, small_batches, utf8
+from .common import U64, cut, doc_chunks, hashed_docs, pick, small_batches, uncollected, utf8
 
 SHARD_IDS, ROUNDS, BATCH, LEAST_STEPS = 400_000, 9, 64, 200
 RATE = 4e-3
@@ -130,7 +130,7 @@ def _gather(vocabulary: tuple[str, str]):
         if parts:
             yield rows(*counts_batch(parts))
 
-    return run
+    return uncollected(run)
 
 
 def _id_counts(batches):
@@ -277,7 +277,7 @@ def _score(vocabulary: tuple[str, str], shared):
             row += len(texts)
             yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score / math.log(10)), *lists], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "miss", "times"])
 
-    return run
+    return uncollected(run)
 
 
 def score(docs: DataFrame, vocabulary: tuple[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
