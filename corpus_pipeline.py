@@ -1,7 +1,11 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, mixing, SentencePiece ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before kept. All but the last
-return the columns of documents; the last returns doc_id, n_ids, ids, round_trip.
+return the columns of documents, extra ones included; the last returns doc_id, n_ids, ids, round_trip.
+
+Null, empty and blank texts fail the quality rules and go there. Null languages and sources are groups of their
+own. A null doc_id is matched with nothing by the two dedup stages and is kept by them. Rows with one doc_id go or
+stay together. Ties go to the least doc_id. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations

@@ -673,3 +673,13 @@ def test_mixing_against_plain_fitting():
     w = mixing.rake(cells, codes, targets)
     for c, t in zip(codes, targets, strict=True):
         assert np.bincount(c, weights=w) == pytest.approx(t, rel=1e-6)
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir, real):
+    import corpus_pipeline
+
+    docs = real.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, sf_dir), "empty")
+        assert docs.columns == real.columns and docs.isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).isEmpty()
