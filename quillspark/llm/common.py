@@ -149,21 +149,23 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, start and end (bytes) of each run of non-space bytes.
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes raw[start:end]: a polynomial from one running sum, so the cost does not depend on the number of spans."""
+    power, inverse = _power_tables(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum((raw.astype(U64) + U64(1)) * power[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
 
-    A polynomial hash from one running sum, so the cost does not depend on the number of words.
-    """
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, start and end (bytes) of each run of non-space bytes."""
     raw = np.frombuffer(data, np.uint8)
     word = np.concatenate(([False], ~_SPACE[raw], [False]))
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, U64), start, end
-    power, inverse = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * power[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64)), start, end
+    return span_hashes(raw, start, end), start, end
 
 
 def doc_chunks(texts: list[bytes]):

@@ -19,6 +19,7 @@ content; null ids come first. An empty table gives an empty store; extra columns
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import zlib
 from array import array
@@ -32,16 +33,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Recent, mix, pick, shared_dir, small_batches, uncollected, utf8
+from .common import U64, doc_chunks, mix, pick, shared_dir, small_batches, span_hashes, uncollected, utf8
 
 SPAN, MASK, MIN_IDS, MAX_IDS = 8, 0xFF, 64, 2048
-#: Pieces of texts whose ids a task remembers, and chunk digests that it has sent.
-WORD_CACHE, SENT_CACHE = 300_000, 1_000_000
-#: Unicode White_Space, as the tokenizer's pattern reads it. No token of it crosses these pieces.
-_WS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: A run of these letters (all of the pattern's class L) before white space or a mark is a token's whole match.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PIECE = re.compile(f" ?[{_LETTERS}]++(?=[{_WS}.,;:!?]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: Pieces of texts whose ids a worker remembers (at most twice as many), and chunk digests that a task has sent.
+WORD_CACHE, SENT_CACHE = 400_000, 1_000_000
+#: Longer pieces get a hash of their own kind and are not remembered.
+LONG_PIECE = 64
+#: Classes of bytes: 1 a space, 2 other ASCII white space, 3 ASCII letters, 4 marks, 5 other visible ASCII,
+#: 6 first bytes of characters of which none is white space; 0 is the rest.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x21, 0x80)]] = 5
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 3
+_CLASS[[*b".,;:!?"]] = 4
+_CLASS[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = 6
+_CLASS[[*range(9, 14)]] = 2
+_CLASS[0x20] = 1
+#: The splitting pattern ends a match between these classes, whatever stands around: white space after a visible
+#: character, and a mark after a letter.
+_ENDS = np.zeros((7, 7), bool)
+_ENDS[3:6, 2] = _ENDS[3, 4] = True
 #: Byte-level vocabularies write a byte as itself if it is printable in Latin-1, else as 256 and up in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
@@ -65,8 +76,11 @@ def public_pattern(tokenizer) -> str:
 class WordEncoder:
     """The tokenizers library over whole texts, remembering the ids of recent pieces of texts.
 
-    The strings of special tokens are cut out first, as the library does. The vocabulary's pattern never
-    joins a token across the pieces of ``_PIECE``, so ids of pieces put together are the ids of the text.
+    The strings of special tokens are cut out first, as the library does. Then texts are cut where the
+    vocabulary's pattern ends a match whatever stands around (``_ENDS``, before the last white space before a
+    visible character, and after it unless it is a space), so ids of pieces put together are the ids of the text. Pieces are found, hashed and put
+    together in numpy; only a piece that is new to the worker goes to the library. Pieces of at most
+    ``LONG_PIECE`` bytes are told apart by 64 bits of hash.
     """
 
     def __init__(self, path: str, wide: bool = False):
@@ -81,32 +95,85 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens that reach into the text beside them are not supported")
-        self.added = {t.content: array(self.code, [i]).tobytes() for i, t in added.items()}
-        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.known = Recent(self._learn, WORD_CACHE)
+        self.added = {t.content.encode(): np.array([i], self.dtype) for i, t in added.items()}
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
+        self.model = self.tokenizer.model
+        self.pack = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
+        self.known: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if self.split is None or not self.split.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.added[m.group()]]
-            at = m.end()
-        return b"".join(out) + self._plain(text[at:])
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
-
-    def _learn(self, piece: str) -> bytes:
+        return next(self.encode_all([text.encode()])).tobytes()
+
+    def encode_all(self, texts: list[bytes]):
+        """Yields the ids of each UTF-8 text, many texts at a time."""
+        for a, b in doc_chunks(texts):
+            if self.split is None or not any(map(self.split.search, texts[a:b])):
+                yield from self._plain(texts[a:b])
+                continue
+            for text in texts[a:b]:
+                parts = self.split.split(text)  # texts and special tokens by turns
+                ids = self._plain(parts[::2])
+                yield np.concatenate([self.added[x] if i % 2 else ids[i // 2] for i, x in enumerate(parts)])
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b"\0".join([*texts, b""])
+        raw = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # of the zero after each text
+        kind = np.append(_CLASS[raw], np.uint8(0))
+        kind[ends] = 0
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[1:-1] = _ENDS[kind[:-2], kind[1:-1]]
+        last = (kind[:-1] > 0) & (kind[:-1] < 3) & (kind[1:] > 2)  # white space before a visible character
+        edge[:-1] |= last
+        edge[1:] |= last & (kind[:-1] == 2)
+        edge[0] = edge[ends] = edge[ends + 1] = True
+        at = np.flatnonzero(edge)
+        start, end = at[:-1], at[1:]
+        real = np.ones(len(start), bool)
+        real[np.searchsorted(start, ends)] = False
+        start, end = start[real], end[real]
+        h = span_hashes(raw, start, end)
+        for i in np.flatnonzero(end - start > LONG_PIECE).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+        order = np.argsort(h)
+        ranked = h[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(h) else order
+        which = np.empty(len(h), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        found = self._ids(ranked[first].tolist(), data, start[order[first]], end[order[first]])
+        size = self.dtype.itemsize
+        pool, n = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // size
+        begin, n = (np.cumsum(n) - n)[which], n[which]
+        stop = np.cumsum(n)
+        ids = pool[np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        cuts = np.append(0, stop)[np.searchsorted(start, ends)]
+        return np.split(ids, cuts[:-1])
+
+    def _ids(self, keys: list[int], data: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The ids of the pieces data[start:end], whose hashes are keys."""
+        out = list(map(self.known.get, keys))
+        at = [i for i, v in enumerate(out) if v is None]
+        for i, a, b in zip(at, start[at].tolist(), end[at].tolist(), strict=True):
+            key = keys[i]
+            ids = self.old.get(key)
+            if ids is None:
+                ids = self._learn(data[a:b])
+            out[i] = ids
+            if b - a <= LONG_PIECE:
+                if len(self.known) >= WORD_CACHE:
+                    self.known, self.old = {}, self.known
+                self.known[key] = ids
+        return out
+
+    def _learn(self, piece: bytes) -> bytes:
         """The tokenizer's own splitting, then its model on each part of the piece."""
-        word = piece[1:] if piece[0] == " " else piece
+        if (piece[1:] if piece[0] == 32 else piece).isalpha():  # ASCII letters only, one match
+            found = self.model.tokenize(piece.decode().replace(" ", _SPACE_CHAR))
+            return self.pack[len(found)](*[t.id for t in found]) if len(found) < len(self.pack) else array(self.code, [t.id for t in found]).tobytes()
         out = []
-        for x in (piece,) if word.isalpha() else self.pattern.findall(piece):
-            if x.isascii() and x.isprintable():
-                raw = x.replace(" ", _SPACE_CHAR)
-            else:
-                raw = x.encode().decode("latin-1").translate(_BYTE_CHARS)
-            out += [t.id for t in self.tokenizer.model.tokenize(raw)]
+        for x in self.pattern.findall(piece.decode("utf-8", "replace")):
+            out += [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTE_CHARS))]
         return array(self.code, out).tobytes()
 
 
@@ -155,13 +222,13 @@ def encoder(path: str) -> WordEncoder:
 def _encode(path: str, end_id: int):
     def run(batches):
         enc = encoder(path)
-        end, size = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        end, size = enc.dtype.type(end_id), enc.dtype.itemsize
         sent: set[bytes] = set()
         for batch in batches:
             kind, key, doc, n, data = [], [], [], [], []
-            for d, raw in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
-                buf = enc.encode(raw.decode("utf-8", "replace")) + end
-                ids = np.frombuffer(buf, enc.dtype)
+            for d, found in zip(batch.column("doc_id").to_pylist(), enc.encode_all(utf8(batch.column("text"))), strict=True):
+                ids = np.append(found, end)
+                buf = ids.tobytes()
                 keys, last = [], 0
                 for c in chunk_cuts(ids):
                     part = buf[last * size : c * size]

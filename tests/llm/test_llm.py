@@ -643,6 +643,18 @@ def test_token_ids_are_the_librarys():
     assert [np.frombuffer(e.encode(x), e.dtype).tolist() for x in AWKWARD] == want and want[0] == [87, 220, 50256, 331]
 
 
+def test_token_ids_of_mixed_texts():
+    """Texts put together from awkward parts, encoded many at a time, have the library's ids."""
+    from tokenizers import Tokenizer
+
+    parts = ["a", "the", *" " * 4, "\n", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", "'s", "'", "'ll", ".", ",", "!?", "1", "23", "é", "ß", "中", "🙂", "\0", "<|endoftext|>", "<|", "_", "\x7f", "а", "ab" * 40]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(8_000)]
+    path = tokenizer("byte_bpe_50k.json")
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in token_store.WordEncoder(path).encode_all([t.encode() for t in texts])] == want
+
+
 def test_quality_cutoffs_follow_the_groups(spark):
     """With little weight on the language, one symbol ratio is kept in one source and not in the other."""
     rng = np.random.default_rng(6)
