@@ -36,26 +36,28 @@ from pyspark.sql import functions as F
 from .common import U64, doc_chunks, mix, pick, shared_dir, small_batches, span_hashes, uncollected, utf8
 
 SPAN, MASK, MIN_IDS, MAX_IDS = 8, 0xFF, 64, 2048
-#: Pieces of texts whose ids a worker remembers (at most twice as many), and chunk digests that a task has sent.
-WORD_CACHE, SENT_CACHE = 400_000, 1_000_000
+#: A worker remembers the ids of at most 2 ** CACHE_BITS pieces of texts, of at most MOST_IDS ids each.
+CACHE_BITS, MOST_IDS = 21, 15
 #: Longer pieces get a hash of their own kind and are not remembered.
 LONG_PIECE = 64
-#: Classes of bytes: 1 a space, 2 other ASCII white space, 3 ASCII letters, 4 marks, 5 other visible ASCII,
-#: 6 first bytes of characters of which none is white space; 0 is the rest.
+#: Chunk digests that a task remembers having sent.
+SENT_CACHE = 1_000_000
+#: Classes of bytes: 1 a space, 2 other ASCII white space, 3 ASCII letters, 4 other visible ASCII,
+#: 5 first bytes of characters of which none is white space; 0 is the rest.
 _CLASS = np.zeros(256, np.uint8)
-_CLASS[[*range(0x21, 0x80)]] = 5
+_CLASS[[*range(0x21, 0x80)]] = 4
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 3
-_CLASS[[*b".,;:!?"]] = 4
-_CLASS[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = 6
+_CLASS[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = 5
 _CLASS[[*range(9, 14)]] = 2
 _CLASS[0x20] = 1
 #: The splitting pattern ends a match between these classes, whatever stands around: white space after a visible
-#: character, and a mark after a letter.
-_ENDS = np.zeros((7, 7), bool)
-_ENDS[3:6, 2] = _ENDS[3, 4] = True
+#: character, and what is no letter after a letter.
+_ENDS = np.zeros((6, 6), bool)
+_ENDS[3:5, 2] = _ENDS[3, 4] = True
 #: Byte-level vocabularies write a byte as itself if it is printable in Latin-1, else as 256 and up in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+_OTHERS = sorted(set(range(256)).difference(_PRINTABLE))
+_BYTE_CHARS = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 _SPACE_CHAR = _BYTE_CHARS[32]
 #: Fixed value: the splitting pattern of byte-level vocabularies of this kind.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,7 +82,8 @@ class WordEncoder:
     vocabulary's pattern ends a match whatever stands around (``_ENDS``, before the last white space before a
     visible character, and after it unless it is a space), so ids of pieces put together are the ids of the text. Pieces are found, hashed and put
     together in numpy; only a piece that is new to the worker goes to the library. Pieces of at most
-    ``LONG_PIECE`` bytes are told apart by 64 bits of hash.
+    ``LONG_PIECE`` bytes are told apart by 63 bits of hash; each has two places in a table, and the least lately
+    learned go when both are taken.
     """
 
     def __init__(self, path: str, wide: bool = False):
@@ -99,8 +102,8 @@ class WordEncoder:
         self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
         self.model = self.tokenizer.model
         self.pack = [struct.Struct(f"<{n}{self.code}").pack for n in range(32)]
-        self.known: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        # a row for a piece: its hash, then the number of its ids and the ids
+        self.known = np.zeros((1 << CACHE_BITS, 1 + (1 + MOST_IDS) * self.dtype.itemsize // 8), U64)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text.encode()])).tobytes()
@@ -136,59 +139,89 @@ class WordEncoder:
         h = span_hashes(raw, start, end)
         for i in np.flatnonzero(end - start > LONG_PIECE).tolist():
             h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
-        order = np.argsort(h)
-        ranked = h[order]
-        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(h) else order
-        which = np.empty(len(h), np.int64)
-        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-        found = self._ids(ranked[first].tolist(), data, start[order[first]], end[order[first]])
+        h |= U64(1)  # 0 is an empty row
+        rows = self.known[self._place(h)]
+        miss = np.flatnonzero(rows[:, 0] != h)
+        other = self.known[self._place(h[miss], 1)]
+        hit = other[:, 0] == h[miss]
+        rows[miss[hit]] = other[hit]
+        miss = miss[~hit]
+        long = np.zeros(len(h), bool)
+        if len(miss):
+            _, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            learned = [self._learn(data[i:j]) for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            new, short = self._rows(h[first], learned)
+            rows[miss] = new[which]
+            long[miss] = ~short[which]
+            self._remember(new[short & (end[first] - start[first] <= LONG_PIECE)])
+        ids = rows[:, 1:].view(self.dtype)
+        n = ids[:, 0].astype(np.int64)
+        out = ids[:, 1:][np.arange(MOST_IDS) < n[:, None]]
+        if long.any():
+            rest = [np.frombuffer(learned[i], self.dtype) for i in which[long[miss]].tolist()]
+            n[long] = list(map(len, rest))
+            whole, far = np.empty(n.sum(), self.dtype), np.repeat(long, n)
+            whole[~far], whole[far] = out, np.concatenate(rest)
+            out = whole
+        cuts = np.append(0, np.cumsum(n))[np.searchsorted(start, ends)]
+        return np.split(out, cuts[:-1])
+
+    def _place(self, h: np.ndarray, choice: int = 0) -> np.ndarray:
+        return (h << U64(31) if choice else h) >> U64(64 - CACHE_BITS)
+
+    def _rows(self, h: np.ndarray, learned: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each hash and its ids, and which have at most MOST_IDS; the others' rows hold none."""
         size = self.dtype.itemsize
-        pool, n = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // size
-        begin, n = (np.cumsum(n) - n)[which], n[which]
-        stop = np.cumsum(n)
-        ids = pool[np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-        cuts = np.append(0, stop)[np.searchsorted(start, ends)]
-        return np.split(ids, cuts[:-1])
-
-    def _ids(self, keys: list[int], data: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """The ids of the pieces data[start:end], whose hashes are keys."""
-        out = list(map(self.known.get, keys))
-        at = [i for i, v in enumerate(out) if v is None]
-        for i, a, b in zip(at, start[at].tolist(), end[at].tolist(), strict=True):
-            key = keys[i]
-            ids = self.old.get(key)
-            if ids is None:
-                ids = self._learn(data[a:b])
-            out[i] = ids
-            if b - a <= LONG_PIECE:
-                if len(self.known) >= WORD_CACHE:
-                    self.known, self.old = {}, self.known
-                self.known[key] = ids
-        return out
+        n = np.fromiter(map(len, learned), np.int64, len(learned)) // size
+        short = n <= MOST_IDS
+        rows = np.zeros((len(h), self.known.shape[1]), U64)
+        rows[:, 0] = h
+        ids = rows[:, 1:].view(self.dtype)
+        ids[:, 0] = np.where(short, n, 0)
+        ids[:, 1:][np.arange(MOST_IDS) < ids[:, :1]] = np.frombuffer(b"".join([x for x, few in zip(learned, short.tolist(), strict=True) if few]), self.dtype)
+        return rows, short
+
+    def _remember(self, new: np.ndarray) -> None:
+        """Puts rows in their first places; what was there moves to its second. Of rows with one place, one stays."""
+        at = self._place(new[:, 0])
+        before = self.known[at]
+        before = before[before[:, 0] != 0]
+        self.known[self._place(before[:, 0], 1)] = before
+        self.known[at] = new
 
     def _learn(self, piece: bytes) -> bytes:
         """The tokenizer's own splitting, then its model on each part of the piece."""
         if (piece[1:] if piece[0] == 32 else piece).isalpha():  # ASCII letters only, one match
-            found = self.model.tokenize(piece.decode().replace(" ", _SPACE_CHAR))
-            return self.pack[len(found)](*[t.id for t in found]) if len(found) < len(self.pack) else array(self.code, [t.id for t in found]).tobytes()
-        out = []
-        for x in self.pattern.findall(piece.decode("utf-8", "replace")):
-            out += [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTE_CHARS))]
-        return array(self.code, out).tobytes()
+            ids = [t.id for t in self.model.tokenize(piece.decode().replace(" ", _SPACE_CHAR))]
+        else:
+            text = piece.decode("utf-8", "replace")
+            if (text[1:] if text[0] == " " else text).isalpha():
+                ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]
+            else:
+                ids = [t.id for x in self.pattern.findall(text) for t in self.model.tokenize(x.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        return self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else array(self.code, ids).tobytes()
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Positions after which the rolling hash of SPAN ids, of powers of one number, has its low bits zero."""
+    roll, power, reach = _GEAR[ids & 0xFFFF] + ids.astype(U64), 0x9E3779B97F4A7C15, 1
+    while reach < SPAN:  # the sums over reach ids give those over twice as many
+        more = roll.copy()
+        more[reach:] += roll[:-reach] * U64(power)
+        roll, power, reach = more, power * power % (1 << 64), 2 * reach
+    return np.flatnonzero((mix(roll) & U64(MASK)) == 0) + 1
 
 
 def chunk_cuts(ids: np.ndarray) -> list[int]:
     """End positions of the chunks: where the rolling hash of SPAN ids has its low bits zero."""
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n] if n else []
-    g = _GEAR[ids & 0xFFFF] + ids.astype(U64)
-    roll = np.zeros(n, U64)
-    for j in range(SPAN):
-        roll[j:] += g[: n - j] * U64(pow(0x9E3779B97F4A7C15, j, 1 << 64))
-    found = np.flatnonzero((mix(roll) & U64(MASK)) == 0) + 1
+    return cuts_at(marks(ids).tolist(), len(ids))
+
+
+def cuts_at(found: list[int], n: int) -> list[int]:
+    """End positions of the chunks of n ids, from the marks; those before MIN_IDS, which lies beyond SPAN, play no part."""
     cuts, last = [], 0
-    for c in found.tolist():
+    for c in found:
         if c - last < MIN_IDS:
             continue
         while c - last > MAX_IDS:
@@ -219,18 +252,30 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _with_cuts(enc: WordEncoder, texts: list[bytes], end: np.ndarray):
+    """Yields the ids of each text, the end's with them, and its chunks' end positions; marks are found over many texts at a time."""
+    for a, b in doc_chunks(texts):
+        docs = [x for ids in enc.encode_all(texts[a:b]) for x in (ids, end)]
+        ids = np.concatenate(docs)
+        ends = np.cumsum([len(x) for x in docs])[1::2]
+        found = marks(ids)
+        upto, lo, start = np.searchsorted(found, ends, "right").tolist(), 0, 0
+        for stop, hi in zip(ends.tolist(), upto, strict=True):
+            yield ids[start:stop], cuts_at((found[lo:hi] - start).tolist(), stop - start)
+            lo, start = hi, stop
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
         enc = encoder(path)
-        end, size = enc.dtype.type(end_id), enc.dtype.itemsize
+        end, size = np.array([end_id], enc.dtype), enc.dtype.itemsize
         sent: set[bytes] = set()
         for batch in batches:
             kind, key, doc, n, data = [], [], [], [], []
-            for d, found in zip(batch.column("doc_id").to_pylist(), enc.encode_all(utf8(batch.column("text"))), strict=True):
-                ids = np.append(found, end)
+            for d, (ids, cuts) in zip(batch.column("doc_id").to_pylist(), _with_cuts(enc, utf8(batch.column("text")), end), strict=True):
                 buf = ids.tobytes()
                 keys, last = [], 0
-                for c in chunk_cuts(ids):
+                for c in cuts:
                     part = buf[last * size : c * size]
                     last = c
                     digest = xxhash.xxh3_128_digest(part)
