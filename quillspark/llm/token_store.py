@@ -37,7 +37,7 @@ from .common import U64, doc_chunks, mix, pick, shared_dir, small_batches, span_
 
 SPAN, MASK, MIN_IDS, MAX_IDS = 8, 0xFF, 64, 2048
 #: A worker remembers the ids of at most 2 ** CACHE_BITS pieces of texts, of at most MOST_IDS ids each.
-CACHE_BITS, MOST_IDS = 21, 15
+CACHE_BITS, MOST_IDS = 19, 15
 #: Longer pieces get a hash of their own kind and are not remembered.
 LONG_PIECE = 64
 #: Chunk digests that a task remembers having sent.
