@@ -90,3 +90,18 @@ def span_errors(rows: DataFrame, labels: list[str]) -> DataFrame:
         F.when(known & outside, said), F.when(known & ~F.col("label").isin(labels), F.concat(F.lit("unknown label '"), "label", F.lit("'"))),
     )
     return rows.select("doc", "i", F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("doc", "i", F.concat(prefix, "e").alias("error"))
+
+
+def evidence(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """A row for each alignment of pairs (child, parent, alignments), with both segments' ids and texts.
+
+    segments has doc, idx (from 0), segment_id, text. An index that a document does not have is an error.
+    """
+    x = pairs.select("child", "parent", F.posexplode("alignments").alias("nth", "a")).select("child", "parent", "nth", "a.*")
+    for side in ("child", "parent"):
+        own = segments.select(F.col("doc").alias(side), F.col("idx").alias(f"{side}_index"), F.col("segment_id").alias(f"{side}_segment"), F.col("text").alias(f"{side}_text"))
+        x = x.join(own, [side, f"{side}_index"], "left")
+    lost = F.raise_error(F.format_string("alignment index out of range for %s -> %s", F.col("child").cast("string"), F.col("parent").cast("string"))).cast("string")
+    for side in ("child", "parent"):
+        x = x.withColumn(f"{side}_segment", F.when(F.col(f"{side}_segment").isNull(), lost).otherwise(F.col(f"{side}_segment")))
+    return x

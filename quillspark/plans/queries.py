@@ -718,4 +718,4 @@ def udf06_roll_up(t):
     return t("conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("any_system"), F.max(F.when(F.col("role") == "user", F.length("text").cast("bigint"))).alias("longest"))
 
 
-from . import golden, more  # noqa: E402, F401  registers its queries
+from . import golden, joined, more  # noqa: E402, F401  registers its queries

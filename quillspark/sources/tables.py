@@ -11,11 +11,12 @@ CORPUS = "id string, doc_type string, url string, date string, doc_text string"
 
 
 def read_corpus(spark: SparkSession, paths: list[str], types: list[str], schema: str = CORPUS) -> DataFrame:
-    """CSV files with a header and doubled quotes, kept types only, with source_file; ids must be unique."""
+    """CSV files with a header and doubled quotes, kept types only, with source_file; ids and urls must be unique."""
     raw = spark.read.schema(schema).csv(paths, header=True, escape='"', multiLine=True).withColumn("source_file", F.col("_metadata.file_name"))
     out = raw.filter(F.col("doc_type").isin(types))
-    if not duplicates(out, "id").isEmpty():
-        raise ValueError("a document id is there more than once")
+    for key in ("id", "url"):
+        if not duplicates(out, key).isEmpty():
+            raise ValueError(f"a document {key} is there more than once")
     return out
 
 
@@ -34,7 +35,28 @@ def annotations(exports: DataFrame, texts: DataFrame) -> DataFrame:
     kind = "map<string,struct<status:string,annotations:array<struct<start:int,end:int,label:string>>>>"
     docs = exports.select(F.explode(F.from_json("json", kind)).alias("doc", "e")).filter(~F.col("doc").isin("annotator", "document_metadata"))
     flat = docs.select("doc", "e.status", F.explode("e.annotations").alias("a")).select("doc", "status", "a.*")
-    return flat.join(texts, "doc").withColumn("span", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).drop("text")
+    x = flat.join(texts.withColumn("__there", F.lit(True)), "doc", "left")
+    span = F.when(F.col("__there"), F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    unknown = F.raise_error(F.concat(F.lit("no document "), F.col("doc"))).cast("string")
+    return x.withColumn("span", F.when(F.col("__there").isNull(), unknown).otherwise(span)).drop("text", "__there")
+
+
+def json_assignment(source, name: str):
+    """The JSON array or object that ``var name=`` assigns in a script: up to its closing bracket, strings left out of the count."""
+    head = F.lit(f"var {name}=")
+    rest = F.regexp_replace(F.substring(source, F.locate(f"var {name}=", source) + F.length(head), F.length(source)), r"(?U)^\s+", "")
+    opener = F.left(rest, F.lit(1))
+    closer = F.when(opener == "{", "}").otherwise("]")
+    pieces = F.regexp_extract_all(rest, F.lit(r'(?s)"(?:[^"\\]|\\.)*+"|[\[\]{}]|[^"\[\]{}]++|"'), F.lit(0))
+
+    def step(acc, p):
+        depth = acc["depth"] + F.when(p == opener, 1).when(p == closer, -1).when(p == '"', 1 << 30).otherwise(0)  # a string without end
+        over = acc["over"]
+        return F.struct(F.when(over, acc["n"]).otherwise(acc["n"] + F.length(p)).alias("n"), F.when(over, acc["depth"]).otherwise(depth).alias("depth"), (over | (depth == 0)).alias("over"))
+
+    end = F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("over")), step)
+    fails = F.raise_error(F.lit(f"no JSON is assigned to {name}")).cast("string")
+    return F.when((F.locate(f"var {name}=", source) > 0) & opener.isin("[", "{") & end["over"], F.left(rest, end["n"])).otherwise(fails)
 
 
 def strip_tags(c):
