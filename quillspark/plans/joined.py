@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import legal
 from ..operators import merges, references, review
 from ..sources import tables
 from .golden import golden
@@ -123,3 +124,59 @@ def sim12_alignment_evidence(spark):
     pairs = spark.createDataFrame([(1, 2, [(1, 0, 0.9), (0, 0, 0.8)]), (2, 1, [])], "child long, parent long, alignments array<struct<child_index:int,parent_index:int,score:double>>")
     segments = spark.createDataFrame([(1, 0, "1:oa:001", "one a"), (1, 1, "1:oa:002", "one b"), (2, 0, "2:oa:001", "two a")], "doc long, idx int, segment_id string, text string")
     return review.evidence(pairs, segments).select("child", "parent", F.col("nth").cast("long").alias("nth"), "child_segment", "parent_segment", "child_text", "parent_text")
+
+
+VESTED = [
+    (0, ["By the authority vested in me as President by the Constitution and the laws of the United States of America, and in order to act, I order:"]),
+    (1, ["By virtue of the authority vested in me by Article II, Section 2 of the Constitution, it is ordered."]), (2, ["Pursuant to section 301 of title 3, United States Code, I order."]),
+    (3, ["Pursuant to section 5 of this order, I act."]), (4, []), (5, ["I hereby order."]), (6, ["Whereas Congress acted under the authority of law;", "Whereas the National Emergencies Act authorizes the President to act;"]),
+    (7, ["By the authority vested in me by the Constitution and the National Emergencies Act, consistent with the laws"]), (8, ["Pursuant to the laws of the United States"]), (9, None),
+]
+
+
+@golden(
+    "id, nth, source",
+    (0, 0, "authority vested in me as President by the Constitution and the laws of the United States of America"), (1, 0, "By virtue of the authority vested in me by Article II, Section 2 of the Constitution, it is ordered."),
+    (2, 0, "Pursuant to section 301 of title 3, United States Code, I order."), (3, 0, "Pursuant to section 5 of this order, I act."), (6, 0, "Whereas the National Emergencies Act authorizes the President to act"),
+    (7, 0, "authority vested in me by the Constitution and the National Emergencies Act"), (8, 0, "Pursuant to the laws of the United States"),
+)
+def cls05_authority_sources(spark):
+    x = spark.createDataFrame(VESTED, "id long, c array<string>").select("id", F.posexplode(legal.authority_sources(F.col("c"))).alias("nth", "source"))
+    return x.withColumn("nth", F.col("nth").cast("long"))
+
+
+@golden(
+    "id, category, whole",
+    (0, "generic_constitution_and_generic_statute", "generic_constitution_and_generic_statute"), (1, "specific_constitution_only", "specific_constitution_only"), (2, "specific_statute_only", "specific_statute_only"),
+    (3, "other_vesting_authority", "other_vesting_authority"), (4, "no_vesting_clause", "no_vesting_clause"), (5, "other_vesting_authority", "other_vesting_authority"), (6, "specific_statute_only", "specific_statute_only"),
+    (7, "generic_constitution_and_specific_statute", "generic_constitution_and_specific_statute"), (8, "generic_statute_only", "generic_statute_only"), (9, "no_vesting_clause", "no_vesting_clause"),
+)
+def cls06_authority_category(spark):
+    x = spark.createDataFrame(VESTED, "id long, c array<string>")
+    return x.select("id", legal.authority_category(F.col("c")).alias("category"), legal.authority_category(F.col("c"), whole=True).alias("whole"))
+
+
+@golden(
+    "id, category, rationale, evidence",
+    (0, "self_executing_legal_effect", "tariff/import/HTS change", "Harmonized Tariff Schedule of the United States (HTSUS) is modified"),
+    (1, "self_executing_legal_effect", "tariff/import/HTS change", "suspended and restricted. The entry"),
+    (11, "self_executing_legal_effect", "immigration entry restriction", "entry of certain immigrants and nonimmigrants into the United States is hereby suspended"),
+    (2, "self_executing_legal_effect", "property blocking or transaction prohibition", "property and interests in property are blocked and may not be transferred"),
+    (3, "not_self_executing_legal_effect", "agency reporting/review/coordination directive", "Secretary shall review existing programs, coordinate with agencies, and submit a report"),
+    (4, "not_self_executing_legal_effect", "ceremonial observance language", "do hereby proclaim May 1 as Loyalty Day, and I call upon the people to observe that day"),
+    (5, "self_executing_legal_effect", "land/designation or legal instrument status change", "Executive Order 12345 is hereby revoked"),
+    (6, "self_executing_legal_effect", "funding or eligibility legal consequence", "No federal funds shall be made available"),
+    (7, "not_self_executing_legal_effect", "proclamation without direct private-party effect trigger", ""), (8, "uncertain_review", "no conservative rule matched", ""),
+    (9, "not_self_executing_legal_effect", "agency reporting/review/coordination directive", "council report"), (10, "uncertain_review", "no conservative rule matched", ""),
+)
+def cls07_legal_effect(spark):
+    rows = [
+        (0, "executive_order", "The Harmonized Tariff Schedule of the United States (HTSUS) is modified to help."), (1, "proclamation", "The entry of certain immigrants and nonimmigrants into the United States is hereby suspended and restricted. The entry"),
+        (11, "proclamation", "The entry of certain immigrants and nonimmigrants into the United States is hereby suspended and restricted."),
+        (2, "executive_order", "All property and interests in property are blocked and may not be transferred."), (3, "memorandum", "The Secretary shall review existing programs, coordinate with agencies, and submit a report."),
+        (4, "proclamation", "I do hereby proclaim May 1 as Loyalty Day, and I call upon the people to observe that day."), (5, "executive_order", "Executive Order 12345 is hereby revoked."),
+        (6, "letter", "No federal funds shall be made available."), (7, "proclamation", "Nothing here."), (8, "letter", None),
+        (9, "executive_order", "The designation is hereby modified for the council report."), (10, "executive_order", "Nothing in this order shall be construed so: all transactions are prohibited."),
+    ]
+    x = spark.createDataFrame(rows, "id long, type string, t string").select("id", legal.legal_effect(F.col("t"), F.col("type")).alias("e"))
+    return x.select("id", "e.category", "e.rationale", "e.evidence")
