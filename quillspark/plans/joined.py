@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import legal
-from ..operators import merges, references, review
+from ..operators import merges, models, references, review
 from ..sources import tables
 from .golden import golden
 
@@ -167,7 +167,7 @@ def cls06_authority_category(spark):
     (5, "self_executing_legal_effect", "land/designation or legal instrument status change", "Executive Order 12345 is hereby revoked"),
     (6, "self_executing_legal_effect", "funding or eligibility legal consequence", "No federal funds shall be made available"),
     (7, "not_self_executing_legal_effect", "proclamation without direct private-party effect trigger", ""), (8, "uncertain_review", "no conservative rule matched", ""),
-    (9, "not_self_executing_legal_effect", "agency reporting/review/coordination directive", "council report"), (10, "uncertain_review", "no conservative rule matched", ""),
+    (9, "not_self_executing_legal_effect", "internal management establishment or membership", "council report"), (10, "uncertain_review", "no conservative rule matched", ""),
 )
 def cls07_legal_effect(spark):
     rows = [
@@ -180,3 +180,48 @@ def cls07_legal_effect(spark):
     ]
     x = spark.createDataFrame(rows, "id long, type string, t string").select("id", legal.legal_effect(F.col("t"), F.col("type")).alias("e"))
     return x.select("id", "e.category", "e.rationale", "e.evidence")
+
+
+class Letters:
+    """A stand-in for a model: vectors of letter counts, yes-probabilities from common words, code probabilities from digits."""
+
+    def length(self, text: str) -> int:
+        return len(text.split())
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(c)) for c in "abc"] for t in texts]
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]:
+        return [len(set(a.split()) & set(b.split())) / max(1, len(set(a.split()) | set(b.split()))) for a, b in pairs]
+
+    def codes(self, prompts: list[str]) -> list[list[float]]:
+        return [[p.count(str(c)) / 10 for c in range(5)] for p in prompts]
+
+
+@golden("id, query, document", (0, "0.0,0.0,1.0", "0.6,0.8,0.0"), (1, "0.0,0.0,1.0", "1.0,0.0,0.0"))
+def udf01_encode(spark):
+    x = spark.createDataFrame([(0, "a b b a a b b"), (1, "aa")], "id long, text string")
+    out = models.encode(x, Letters, longest=20, as_query=lambda t: "c")
+    return out.select("id", *[F.array_join(F.transform(c, lambda v: F.round(v, 4).cast("string")), ",").alias(c) for c in ("query", "document")])
+
+
+@golden("id, score", (0, 0.5), (1, 0.0), (2, 1.0), (3, 0.0))
+def udf02_pair_scores(spark):
+    x = spark.createDataFrame([(0, "x y z", "x y w"), (1, "x", "y"), (2, "q", "q"), (3, "", None)], "id long, query string, document string")
+    return models.pair_scores(x, Letters, most=2, budget=6).select("id", "score")
+
+
+@golden("id, score, n_pairs, matched, n_matched", (0, 0.5, 4, 1.0, 1), (1, 0.0, 1, None, 0))
+def udf04_rerank(spark):
+    rows = [(0, ["x y", "p q"], ["x y", "z"], [(0, 0, 0.9)]), (1, ["k"], ["l"], [])]
+    x = spark.createDataFrame(rows, "id long, child array<string>, parent array<string>, a array<struct<child:int,parent:int,score:double>>")
+    whole = models.rerank(x, Letters).select("id", "score", "n_pairs")
+    part = models.rerank(models.matched(x, "a"), Letters).select("id", F.col("score").alias("matched"), F.col("n_pairs").alias("n_matched"))
+    return whole.join(part, "id")
+
+
+@golden("id, codes, all_code3, least, most, evidence", (0, "3,3", True, 0.2, 0.3, "33 hereby"), (1, "1,1", False, 0.0, 0.1, "1"))
+def udf05_code_predictions(spark):
+    x = spark.createDataFrame([(0, "order", "33 hereby"), (1, "letter", "1")], "id long, type string, text string")
+    out = models.code_predictions(x, ["{document_type}: {text}", "3 {document_type}: {text}"], Letters)
+    return out.select("id", F.array_join("codes", ",").alias("codes"), "all_code3", "least", "most", "evidence")
