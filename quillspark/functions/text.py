@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 #: The token pattern (ASCII, apostrophe-joined) and the date format.
 TOKEN = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)*"
 DATE_FORMAT = "MMMM d, yyyy"
+#: The space separators (Unicode Zs), which SQL's trim takes away; no tabs or line ends.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Space separators off both ends. Takes one argument, so that a lambda's index is not taken for the characters to trim."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def parse_date(c: Column) -> Column:

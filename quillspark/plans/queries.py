@@ -67,7 +67,7 @@ def src07_id_agreement(t):
 @query(r"SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda x: trim(x)), '|') AS paragraphs, CAST(len(regexp_extract_all(html, '<[^>]+>')) AS BIGINT) AS n_tags FROM pages")
 def src09_scrape_html(t):
     found = F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
-    return t("pages").select("page_id", F.array_join(F.transform(found, F.trim), "|").alias("paragraphs"), F.size(F.regexp_extract_all("html", F.lit("<[^>]+>"), F.lit(0))).cast("bigint").alias("n_tags"))
+    return t("pages").select("page_id", F.array_join(F.transform(found, text.strip), "|").alias("paragraphs"), F.size(F.regexp_extract_all("html", F.lit("<[^>]+>"), F.lit(0))).cast("bigint").alias("n_tags"))
 
 
 @query("SELECT source AS category, count(*) AS n, CAST(max(length(left(text, 32767))) AS BIGINT) AS longest FROM documents GROUP BY source")

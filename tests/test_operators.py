@@ -174,3 +174,12 @@ def test_segment_similarity(spark):
     p = spark.createDataFrame([(7, 0, "a b c"), (7, 1, "p q r"), (8, 0, "x y z")], "id long, i int, text string")
     got = {(r["child"], r["parent"]): r["score"] for r in similarity.segment_similarity(c, p).collect()}
     assert got == {(1, 7): pytest.approx(1 / 3), (2, 7): pytest.approx(1 / 2), (1, 8): pytest.approx(1 / 2)}
+
+
+def test_scraped_paragraphs_are_trimmed(spark, tmp_path):
+    from quillspark.plans.queries import QUERIES
+
+    html = "<p> 0a0 </p><p>1 b 1</p><p> 2　</p>\n<p>\t3</p>"
+    spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["paragraphs"] for r in QUERIES["src09_scrape_html"](spark, str(tmp_path)).collect()}
+    assert got == {1: "0a0|1 b 1|2|\t3", 2: None}
