@@ -119,7 +119,7 @@ def str08_override_map(t):
 
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS display FROM documents")
 def str09_display_text(t):
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", "\n"), text.strip), lambda p: p != "")
     return t("documents").select("doc_id", F.array_join(parts, "\n\n").alias("display"))
 
 

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import rules, text
+from quillspark.functions import legal, rules, text
 from quillspark.operators import agreement, ranking, references, segments, similarity, spans, stats
 from quillspark.sources import sinks, tables
 
@@ -183,3 +183,17 @@ def test_scraped_paragraphs_are_trimmed(spark, tmp_path):
     spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["paragraphs"] for r in QUERIES["src09_scrape_html"](spark, str(tmp_path)).collect()}
     assert got == {1: "0a0|1 b 1|2|\t3", 2: None}
+
+
+def test_display_lines_are_trimmed(spark, tmp_path):
+    from quillspark.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, " 0a \n1 b 1\n\n　\n4　c4 "), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["display"] for r in QUERIES["str09_display_text"](spark, str(tmp_path)).collect()}
+    assert got == {1: "0a\n\n1 b 1\n\n4　c4", 2: None}
+
+
+def test_authority_keeps_the_digits_at_a_unit_s_edge(spark):
+    clauses = "Whereas it is so: Now, Therefore, by the authority vested in me by section 1"
+    got = spark.createDataFrame([([clauses],)], "c array<string>").select(legal.authority_sources(F.col("c")).alias("s")).first()["s"]
+    assert got == ["authority vested in me by section 1"]
