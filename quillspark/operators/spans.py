@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 def merge_spans(spans: DataFrame, by: list[str]) -> DataFrame:
     """by, start, end, kind: overlapping spans joined, the kind of the first (longest of equal starts).
 
-    Spans that only touch stay apart.
+    Spans that only touch stay apart; equal spans fall into one, whatever their order. Null starts come last.
     """
-    w = Window.partitionBy(*by).orderBy("start", F.col("end").desc())
+    w = Window.partitionBy(*by).orderBy(F.col("start").asc_nulls_last(), F.col("end").desc())
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0)
     run = spans.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -197,3 +197,9 @@ def test_authority_keeps_the_digits_at_a_unit_s_edge(spark):
     clauses = "Whereas it is so: Now, Therefore, by the authority vested in me by section 1"
     got = spark.createDataFrame([([clauses],)], "c array<string>").select(legal.authority_sources(F.col("c")).alias("s")).first()["s"]
     assert got == ["authority vested in me by section 1"]
+
+
+def test_merged_spans_with_equals_and_nulls(spark):
+    rows = [(1, 37, 41, "a"), (1, 32, 36, "r"), (1, 37, 41, "a"), (2, None, None, "a"), (2, 3, 5, "r"), (3, None, None, "a")]
+    got = spans.merge_spans(spark.createDataFrame(rows, "id long, start int, end int, kind string"), ["id"]).select("id", "start", "end").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 32, 36), (1, 37, 41), (2, 3, 5), (3, None, None)]
