@@ -5,9 +5,9 @@ before every backslash, ``#`` and the slash of ``</turn>`` (in roles also before
 string can appear there, and taking the escapes away gives the text back.
 
 Each assistant turn becomes an example: its context is everything formatted before the reply, and the
-reply, the escaped text without marks, is all that is trained on. Contexts are prefixes of one
-formatted string, so examples hold offsets into it (code points); ``with_context`` cuts them out, which
-for a conversation of n turns costs n squared characters and is left to whoever needs it.
+reply, the escaped text without marks, is all that is trained on. Contexts are prefixes of one formatted
+string, cut out at offsets (code points); for a conversation of n turns that makes n squared characters,
+a row at a time.
 
 Rows are ordered by turn, null first, ties by role and text; repeated rows are turns of their own. Null
 roles and texts count as empty. Null conversation ids form one conversation. An empty table gives an
@@ -55,14 +55,27 @@ def format_conversations(conversations: DataFrame, trained: str = "assistant", *
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """A row for each trained turn: conv_id, i, reply_start, reply_end, reply (escaped, as formatted)."""
-    return formatted.select("conv_id", F.explode("examples").alias("e")).select("conv_id", "e.*")
+    """A row for each trained turn, its prefix and target: conv_id, i, context, target, reply_start, reply_end.
+
+    context is all that is formatted before the reply, target the reply (escaped, as formatted). The offsets
+    are the loss mask over context and target put together; both are cut from the formatted string.
+    """
+    e = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
+    start, end = F.col("e.reply_start").cast("int"), F.col("e.reply_end").cast("int")
+    context, target = F.substring("formatted", F.lit(1), start), F.substring("formatted", start + 1, end - start)
+    return e.select("conv_id", "e.i", context.alias("context"), target.alias("target"), "e.reply_start", "e.reply_end")
 
 
 def with_context(formatted: DataFrame) -> DataFrame:
-    """examples() with the context, all that is formatted before the reply."""
-    e = formatted.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    return e.select("conv_id", "e.*", F.substring("formatted", F.lit(1), F.col("e.reply_start").cast("int")).alias("context"))
+    """examples() under its earlier name."""
+    return examples(formatted)
+
+
+def trained_text(example: DataFrame) -> DataFrame:
+    """conv_id, i, text: what lies under the loss mask of each example's context and target, unescaped."""
+    start = F.col("reply_start").cast("int")
+    under = F.substring(F.concat("context", "target"), start + 1, F.col("reply_end").cast("int") - start)
+    return example.select("conv_id", "i", unescape(under).alias("text"))
 
 
 def parse(formatted: Column) -> Column:

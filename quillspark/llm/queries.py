@@ -36,8 +36,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], c.schema)
     f = chat.format_conversations(c.union(extra))
-    replies = chat.examples(f).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "reply"))).alias("r"))
-    loss = replies.select(F.col("conv_id").alias("c"), F.array_join(F.transform("r", lambda x: chat.unescape(x["reply"])), "").alias("loss"))
+    replies = chat.trained_text(chat.examples(f)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("r"))
+    loss = replies.select(F.col("conv_id").alias("c"), F.array_join("r.text", "").alias("loss"))
     said = f.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t")).join(loss, F.col("conv_id").eqNullSafe(F.col("c")), "left")
     whole = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss_text = F.coalesce("loss", F.lit(""))

@@ -243,6 +243,20 @@ def test_chat_formatting(spark):
     assert chat.format_conversations(c.limit(0)).count() == 0
 
 
+def test_chat_examples_are_prefix_and_target(spark):
+    f = chat.format_conversations(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))
+    whole = {r["conv_id"]: r["formatted"] for r in f.collect()}
+    got = chat.examples(f).collect()
+    assert len(got) == sum(t[2] == "assistant" for t in TURNS)
+    for e in got:
+        assert whole[e["conv_id"]].startswith(e["context"] + e["target"] + "</turn>\n") and e["context"].endswith("### assistant: ")
+        assert (len(e["context"]), len(e["context"] + e["target"])) == (e["reply_start"], e["reply_end"])
+    said = {(r["conv_id"], r["i"]): r["text"] for r in chat.trained_text(chat.examples(f)).collect()}
+    assert said == {(1, 2): TURNS[1][3], (1, 4): "é日😀", (2, 1): "", (None, 1): "lost"}
+    moved = chat.examples(f).withColumn("reply_start", F.col("reply_start") - 2)  # a wrong mask must be seen
+    assert {r["text"] for r in chat.trained_text(moved).filter("conv_id is null").collect()} == {": lost"}
+
+
 # token store
 
 
