@@ -100,6 +100,39 @@ def cosine(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "gram").groupBy("left", "right").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
+def _grams(n: int = 3) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+
+def shared_weights(left: DataFrame, right: DataFrame) -> DataFrame:
+    """id, gram, weight as by tfidf over both sides, of the grams that right has: all that a cosine between the sides needs.
+
+    left and right have id (never equal across sides) and text; rows of one id are one segment. Of all
+    grams only their counts are exchanged, once. Weights and lengths are worked out for the segments of
+    left with a gram of right, and for right.
+    """
+    segments = left.union(right)
+
+    l, r = (d.select("id", tokens(F.col("text")).alias("w")).filter(F.size("w") >= 3) for d in (left, right))
+    here = r.select(F.explode(_grams()).alias("gram")).distinct()
+    met = l.select("id", F.explode(_grams()).alias("gram")).join(here, "gram", "left_semi").select("id").distinct()
+    mine = l.join(met, "id", "left_semi").union(r)
+    tf = mine.select("id", F.explode(_grams()).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    every = l.union(r)
+    again = segments.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    once = every if again.isEmpty() else every.join(again, "id", "left_anti")
+    seen = once.select(F.explode(F.array_distinct(_grams())).alias("gram"))
+    if once is not every:  # a gram counts once an id
+        seen = seen.union(every.join(again, "id", "left_semi").select("id", F.explode(_grams()).alias("gram")).distinct().select("gram"))
+    df = seen.groupBy("gram").agg(F.count("*").alias("df"))
+    total = segments.agg(F.count("*").alias("total"))
+    x = tf.join(df, "gram").crossJoin(F.broadcast(total))  # one row
+    x = x.select("id", "gram", (F.col("tf") * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)).alias("x"))
+    x = x.join(here.withColumn("here", F.lit(True)), "gram", "left")
+    by = x.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("here"), F.struct("gram", "x"))).alias("v"))
+    return by.select("id", "norm", F.explode("v").alias("v")).select("id", "v.gram", (F.col("v.x") / F.col("norm")).alias("weight"))
+
+
 def segment_similarity(children: DataFrame, parents: DataFrame, count: int = 3) -> DataFrame:
     """child, parent, score: mean of the count best trigram TF-IDF cosines of their segments; idf over all segments.
 
@@ -107,7 +140,7 @@ def segment_similarity(children: DataFrame, parents: DataFrame, count: int = 3)
     gram count as 0; documents without any such pair are left out.
     """
     both = [d.select(F.struct(F.lit(side).alias("side"), F.col("id").alias("doc"), "i").alias("id"), "text") for side, d in enumerate((children, parents))]
-    w = tfidf(both[0].union(both[1]), words=tokens(F.col("text")))
+    w = shared_weights(*both)
     pairs = cosine(w.filter("id.side = 0"), w.filter("id.side = 1")).select(F.col("left.doc").alias("child"), F.col("right.doc").alias("parent"), F.col("left.i").alias("i"), F.col("right.i").alias("j"), "score")
     best = Window.partitionBy("child", "parent").orderBy(F.col("score").desc(), "i", "j")
     top = pairs.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= count).groupBy("child", "parent").agg(F.sum("score").alias("total"))

@@ -625,7 +625,7 @@ t AS (SELECT child, parent, sum(score) AS total FROM (SELECT * FROM c QUALIFY ro
 SELECT child, parent, round(total / least(3, a.n * b.n), 6) AS score FROM t JOIN k a ON a.side = 0 AND a.id = child JOIN k b ON b.side = 1 AND b.id = parent""")
 def sim03_trigram_similarity(t):
     def lines(name, key):
-        one = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
+        one = F.filter(F.split("text", "\n"), lambda p: text.strip(p) != "")
         return t(name).select(F.col(key).alias("id"), F.posexplode(one).alias("i", "text"))
 
     return similarity.segment_similarity(lines("documents", "doc_id"), lines("benchmark", "item_id")).select("child", "parent", r6(F.col("score"), "score"))

@@ -203,3 +203,20 @@ def test_merged_spans_with_equals_and_nulls(spark):
     rows = [(1, 37, 41, "a"), (1, 32, 36, "r"), (1, 37, 41, "a"), (2, None, None, "a"), (2, 3, 5, "r"), (3, None, None, "a")]
     got = spans.merge_spans(spark.createDataFrame(rows, "id long, start int, end int, kind string"), ["id"]).select("id", "start", "end").collect()
     assert sorted(map(tuple, got), key=str) == [(1, 32, 36), (1, 37, 41), (2, 3, 5), (3, None, None)]
+
+
+def test_segment_similarity_exchanges_counts_only(spark):
+    c = spark.createDataFrame([(1, 0, "a b c d"), (2, 0, "a b c"), (2, 0, "a b c q"), (3, 0, "k l m")], "id long, i int, text string")
+    p = spark.createDataFrame([(7, 0, "a b c")], "id long, i int, text string")
+    ids = [d.select(F.concat(F.lit(s), "id").alias("id"), "text") for s, d in (("c", c), ("p", p))]
+    want = {tuple(r)[:2]: r["weight"] for r in similarity.tfidf(ids[0].union(ids[1]), words=text.tokens(F.col("text"))).collect()}
+    got = {tuple(r)[:2]: r["weight"] for r in similarity.shared_weights(*ids).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if k[1] == "a b c"} and len(got) == 3
+
+
+def test_blank_lines_are_no_segments(spark, tmp_path):
+    from quillspark.plans.queries import QUERIES
+
+    for name, key, body in (("documents", "doc_id", "a b c\n　"), ("benchmark", "item_id", "a b c\n ")):
+        spark.createDataFrame([(1, body)], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [tuple(r) for r in QUERIES["sim03_trigram_similarity"](spark, str(tmp_path)).collect()] == [(1, 1, 1.0)]
