@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import posixpath
 import re
 import uuid
+from functools import lru_cache, wraps
 from urllib.parse import urlparse
 
 import numpy as np
@@ -104,6 +107,37 @@ def uncollected(run):
     return out
 
 
+_models = []
+
+
+def worker_model(make):
+    """make's results stay in a Python worker and serve all tasks of their step, until ``let_go``."""
+    _models.append(lru_cache(maxsize=2)(make))
+    return _models[-1]
+
+
+def let_go() -> None:
+    """Drops the models that earlier steps left in this Python worker and gives their memory back to the system."""
+    if any(f.cache_info().currsize for f in _models):
+        for f in _models:
+            f.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def alone(run):
+    """run over batches, without the models of earlier steps beside it."""
+
+    @wraps(run)
+    def out(batches):
+        let_go()
+        return run(batches)
+
+    return out
+
+
 class Recent(dict):
     """make(key) of recent keys, looked up by ``[]``: at most twice ``limit`` entries, the older go first.
 

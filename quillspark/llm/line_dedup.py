@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, cut, discard, doc_chunks, mix, pick, small_batches, unused, utf8, word_hashes
+from .common import U64, alone, cut, discard, doc_chunks, mix, pick, small_batches, unused, utf8, word_hashes
 
 COUNT_BITS, SLICES = 20, 16
 #: Rows up to which the needed lines or decisions are broadcast (16 bytes each); beyond, they are joined by a shuffle.
@@ -119,6 +119,7 @@ def _table(rows: DataFrame, count) -> np.ndarray:
     return total.ravel()
 
 
+@alone
 def _count(batches):
     def slots():
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, hashed_docs, pick, small_batches, unused, utf8
+from .common import U64, alone, cut, hashed_docs, pick, small_batches, unused, utf8
 
 FEATURES, TOPICS, ROUNDS = 64, 8, 20
 #: Features are added up as whole numbers of this fraction.
@@ -50,6 +50,7 @@ def features(h: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
+@alone
 def _vectors(batches):
     for batch in batches:
         n, v = [], []

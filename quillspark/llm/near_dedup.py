@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, discard, hashed_docs, pick, shingles, small_batches, unused, utf8
+from .common import U64, alone, cut, discard, hashed_docs, pick, shingles, small_batches, unused, utf8
 from .components import components
 
 BANDS, ROWS, SKETCH_LONGS = 40, 5, 8
@@ -91,7 +91,7 @@ def _signatures(k: int):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "n_shingles", "h1", "h2", "bands", "odd"])
 
-    return run
+    return alone(run)
 
 
 def _confirm(k: int, percent: int):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, cut, doc_chunks, mix, pick, small_batches, unused, utf8, word_hashes
+from .common import U64, alone, cut, doc_chunks, mix, pick, small_batches, unused, utf8, word_hashes
 
 GAMMA = 1.02
 WINDOW_WORDS = 8
@@ -79,6 +79,7 @@ def measure_text(data: bytes, n_chars: int, h: np.ndarray, word_bytes: int) -> l
     ]
 
 
+@alone
 def _measure(batches):
     for batch in batches:
         texts = utf8(batch.column("text"))

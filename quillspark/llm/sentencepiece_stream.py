@@ -19,7 +19,6 @@ one by one: repeated rows repeat, extra columns are ignored, an empty table give
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, pick, small_batches, uncollected, utf8
+from .common import Recent, pick, small_batches, uncollected, utf8, worker_model
 
 SPACE = "▁"
 #: Entries that a task remembers: words, parts of words, pairs of pieces.
@@ -321,7 +320,7 @@ class Encoder:
         return text[1:] if m.prefix and text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
+@worker_model
 def encoder(path: str, kind: str | None) -> Encoder:
     """A Python worker's own encoder: its remembered words serve all its tasks."""
     return Encoder(path, kind)

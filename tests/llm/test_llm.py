@@ -709,3 +709,16 @@ def test_pipeline_of_an_empty_table(spark, sf_dir, real):
         docs = corpus_pipeline.cut(stage(spark, docs, sf_dir), "empty")
         assert docs.columns == real.columns and docs.isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).isEmpty()
+
+
+@pytest.mark.parametrize("step", [quality._measure, line_dedup._count, near_dedup._signatures(5), mixing._vectors])
+def test_pipeline_stages_let_go_of_the_encoder(step):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"some words"])], names=["doc_id", "text"])
+    encode = sentencepiece_stream._encode(tokenizer("piece_bpe_32k.model"), None)
+    before = [x.to_pydict() for x in encode([batch])]
+    assert sentencepiece_stream.encoder.cache_info().currsize
+    list(step([]))
+    assert not sentencepiece_stream.encoder.cache_info().currsize
+    assert [x.to_pydict() for x in encode([batch])] == before
