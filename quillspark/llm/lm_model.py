@@ -7,6 +7,8 @@ the longer context adds.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 WIDTH, HIDDEN, SPAN, STEP = 16, 32, 24, 19
@@ -18,7 +20,7 @@ SHAPES = {
     "up": (WIDTH, HIDDEN), "up_b": (HIDDEN,), "down": (HIDDEN, WIDTH),
     "cls": (WIDTH, CLASSES), "cls_b": (CLASSES,), "mem": (CLASSES, WIDTH, MEMBERS), "mem_b": (CLASSES, MEMBERS),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+SIZE = sum(math.prod(s) for s in SHAPES.values())
 _PAST = np.tril(np.ones((SPAN, SPAN), np.float32))
 #: Scores up to which exponentials need no shift; larger ones are shifted by their row's largest.
 SAFE = 60.0
@@ -28,7 +30,7 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The parameters as views of one flat vector."""
     out, at = {}, 0
     for k, s in SHAPES.items():
-        n = int(np.prod(s))
+        n = math.prod(s)
         out[k] = flat[at : at + n].reshape(s)
         at += n
     return out
@@ -54,9 +56,15 @@ def prior(pairs: np.ndarray, strength: float = 8.0) -> tuple[np.ndarray, np.ndar
     return np.log(cls).astype(np.float32), np.log(p / cls[:, :, None]).astype(np.float32)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probabilities of the column own of each row; z becomes the rows' probabilities."""
+    if z.max(initial=0) > SAFE or z.min(initial=0) < -SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    out = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    total = z @ np.ones((z.shape[1], 1), z.dtype)
+    z /= total
+    return out - np.log(total[:, 0])
 
 
 def _log_total(z: np.ndarray) -> np.ndarray:
@@ -65,10 +73,11 @@ def _log_total(z: np.ndarray) -> np.ndarray:
     return np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
-def hidden(p: dict, x: np.ndarray) -> tuple:
-    """States of the windows x (n, SPAN) of leaves, with what the gradients need (weights before division by their sums)."""
+def attended(p: dict, x: np.ndarray) -> tuple:
+    """States after attention of the windows x (n, SPAN) of leaves, with what the gradients need (weights before division by their sums)."""
     n = len(x)
-    h0 = p["emb"][x] + p["pos"]
+    h0 = p["emb"].take(x, axis=0)
+    h0 += p["pos"]
     qkv = (h0.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, SPAN, 3 * WIDTH)
     q, k = qkv[:, :, :WIDTH] * np.float32(WIDTH**-0.5), qkv[:, :, WIDTH : 2 * WIDTH]
     v = np.ones((n, SPAN, WIDTH + 1), np.float32)  # the last column adds up the weights
@@ -82,28 +91,39 @@ def hidden(p: dict, x: np.ndarray) -> tuple:
     z = e @ v
     total = z[:, :, WIDTH:]
     z = z[:, :, :WIDTH] / total
-    h1 = h0.reshape(-1, WIDTH) + z.reshape(-1, WIDTH) @ p["out"]
+    return h0.reshape(-1, WIDTH) + z.reshape(-1, WIDTH) @ p["out"], (h0, qkv, e, total, z)
+
+
+def fed(p: dict, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States after the feed-forward layer, row by row, and its inner activations."""
     u = h1 @ p["up"]
     u += p["up_b"]
     np.maximum(u, 0, out=u)
-    return h1 + u @ p["down"], (h0, qkv, e, total, z, h1, u)
+    return h1 + u @ p["down"], u
+
+
+def hidden(p: dict, x: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Final states of the positions of the windows x that count, all by default (the others are only looked back at), with their inner activations."""
+    h1 = attended(p, x)[0]
+    return fed(p, h1 if counts is None else h1.take(np.flatnonzero(counts), axis=0))
 
 
 def log_probs(p: dict, prior: tuple, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of the leaves y after x in states h: of the class, then of its member."""
     c, m = y // MEMBERS, y % MEMBERS
+    members = prior[1].reshape(-1, MEMBERS)
     z = h @ p["cls"]
     z += p["cls_b"]
-    z += prior[0][x]
+    z += prior[0].take(x, axis=0)
     out = z[np.arange(len(y)), c] - _log_total(z)
     order = np.argsort(c.astype(np.int8), kind="stable")
     ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for j in range(CLASSES):
         at = order[ends[j] : ends[j + 1]]
         if len(at):
-            z = h[at] @ p["mem"][j]
+            z = h.take(at, axis=0) @ p["mem"][j]
             z += p["mem_b"][j]
-            z += prior[1][x[at], j]
+            z += members.take(x[at] * CLASSES + j, axis=0)
             out[at] += z[np.arange(len(at)), m[at]] - _log_total(z)
     return out
 
@@ -113,45 +133,63 @@ def loss_and_gradient(flat: np.ndarray, prior: tuple, x: np.ndarray, y: np.ndarr
     p, grad = views(flat), np.zeros_like(flat)
     g = views(grad)
     n = len(x)
-    h2, (h0, qkv, e, total, z, h1, u) = hidden(p, x)
-    (q, k, v), a = np.split(qkv, 3, axis=2), e / total
-    flat_y, w = y.ravel(), (weight.ravel() / max(weight.sum(), 1)).astype(np.float32)
-    c, m = flat_y // MEMBERS, flat_y % MEMBERS
-    rows = np.arange(len(flat_y))
-    flat_x = x.ravel()
-    lc = _log_softmax(h2 @ p["cls"] + p["cls_b"] + prior[0][flat_x])
-    loss = -(lc[rows, c] * w).sum()
-    d = np.exp(lc) * w[:, None]
+    h1_all, (h0, qkv, e, total, z) = attended(p, x)
+    q, k, v = (qkv[:, :, i : i + WIDTH] for i in range(0, 3 * WIDTH, WIDTH))
+    a = np.divide(e, total, out=e)
+    # only positions that count get an output; they stand by class, so that each class is one slice
+    at = np.flatnonzero(weight.ravel() > 0)
+    at = at[np.argsort((y.ravel()[at] // MEMBERS).astype(np.int8), kind="stable")]
+    flat_x, flat_y = x.ravel(), y.ravel()[at]
+    w = (weight.ravel()[at] / max(weight.sum(), 1)).astype(np.float32)
+    own_x, c, m = flat_x[at], flat_y // MEMBERS, flat_y % MEMBERS
+    rows = np.arange(len(at))
+    ends = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    slices = [(j, slice(ends[j], ends[j + 1])) for j in range(CLASSES) if ends[j] < ends[j + 1]]
+    ones = np.ones(len(at), np.float32)  # a product with it adds up columns fastest
+    h1 = h1_all.take(at, axis=0)
+    h2, u = fed(p, h1)
+    d = h2 @ p["cls"]
+    d += p["cls_b"]
+    d += prior[0].take(own_x, axis=0)
+    loss = -(_softmax(d, c) * w).sum()
+    d *= w[:, None]
     d[rows, c] -= w
     g["cls"] += h2.T @ d
-    g["cls_b"] += d.sum(axis=0)
+    g["cls_b"] += ones @ d
     dh = d @ p["cls"].T
-    for j in range(CLASSES):
-        at = np.flatnonzero((c == j) & (w > 0))
-        if not len(at):
-            continue
-        lm = _log_softmax(h2[at] @ p["mem"][j] + p["mem_b"][j] + prior[1][flat_x[at], j])
-        i = np.arange(len(at))
-        loss -= (lm[i, m[at]] * w[at]).sum()
-        d = np.exp(lm) * w[at, None]
-        d[i, m[at]] -= w[at]
-        g["mem"][j] += h2[at].T @ d
-        g["mem_b"][j] += d.sum(axis=0)
-        dh[at] += d @ p["mem"][j].T
+    d = np.empty((len(at), MEMBERS), np.float32)
+    for j, s in slices:
+        np.matmul(h2[s], p["mem"][j], out=d[s])
+    d += p["mem_b"].take(c, axis=0)
+    d += prior[1].reshape(-1, MEMBERS).take(own_x * CLASSES + c, axis=0)
+    loss -= (_softmax(d, m) * w).sum()
+    d *= w[:, None]
+    d[rows, m] -= w
+    back = np.empty_like(dh)
+    for j, s in slices:
+        np.matmul(h2[s].T, d[s], out=g["mem"][j])
+        np.matmul(d[s], p["mem"][j].T, out=back[s])
+    dh += back
+    if slices:
+        g["mem_b"][[j for j, _ in slices]] = np.add.reduceat(d, [s.start for _, s in slices], axis=0)
     g["down"] += u.T @ dh
     du = (dh @ p["down"].T) * (u > 0)
     g["up"] += h1.T @ du
-    g["up_b"] += du.sum(axis=0)
-    dh1 = dh + du @ p["up"].T
+    g["up_b"] += ones @ du
+    dh1 = np.zeros_like(h1_all)
+    dh1[at] = dh + du @ p["up"].T
     g["out"] += z.reshape(-1, WIDTH).T @ dh1
     dz = (dh1 @ p["out"].T).reshape(n, SPAN, WIDTH)
     da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
+    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+    ds = da * a
+    ds *= np.float32(WIDTH**-0.5)
     dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2).reshape(-1, 3 * WIDTH)
     g["qkv"] += h0.reshape(-1, WIDTH).T @ dqkv
     dh0 = dh1 + dqkv @ p["qkv"].T
     g["pos"] += dh0.reshape(n, SPAN, WIDTH).sum(axis=0)
-    np.add.at(g["emb"], x.ravel(), dh0)
+    cell = (flat_x[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    g["emb"] += np.bincount(cell, weights=dh0.ravel(), minlength=g["emb"].size).reshape(g["emb"].shape)
     return float(loss), grad
 
 

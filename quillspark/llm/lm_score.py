@@ -242,13 +242,12 @@ def _score(vocabulary: tuple[str, str], shared):
             def flush():
                 x, y, m = (np.concatenate([q[1 + i] for q in held]) for i in range(3))
                 doc = np.repeat([q[0] for q in held], [len(q[1]) for q in held])
-                h = np.concatenate([net.hidden(p, x[i : i + HIDDEN_WINDOWS])[0] for i in range(0, len(x), HIDDEN_WINDOWS)])
-                for i in range(0, len(x), SCORE_WINDOWS):
-                    at = slice(i, i + SCORE_WINDOWS)
-                    mask = m[at].ravel()
-                    lp = net.log_probs(p, prior, h[i * net.SPAN : (i + SCORE_WINDOWS) * net.SPAN][mask], x[at].ravel()[mask], y[at].ravel()[mask])
-                    total = np.bincount(np.repeat(doc[at], net.SPAN)[mask], weights=lp.astype(np.float64), minlength=len(score))
-                    score[:] += total  # noqa: B023
+                h = np.concatenate([net.hidden(p, x[i : i + HIDDEN_WINDOWS], m[i : i + HIDDEN_WINDOWS])[0] for i in range(0, len(x), HIDDEN_WINDOWS)])
+                x, y, doc = x[m], y[m], np.repeat(doc, m.sum(axis=1))
+                for i in range(0, len(x), SCORE_WINDOWS * net.SPAN):
+                    at = slice(i, i + SCORE_WINDOWS * net.SPAN)
+                    lp = net.log_probs(p, prior, h[at], x[at], y[at])
+                    score[:] += np.bincount(doc[at], weights=lp.astype(np.float64), minlength=len(score))  # noqa: B023
 
             for i, t in enumerate(texts):
                 one = ids.of(t.split())

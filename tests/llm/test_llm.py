@@ -722,3 +722,36 @@ def test_pipeline_stages_let_go_of_the_encoder(step):
     list(step([]))
     assert not sentencepiece_stream.encoder.cache_info().currsize
     assert [x.to_pydict() for x in encode([batch])] == before
+
+
+def test_lm_gradient_of_counted_positions_by_plain_sums():
+    """Windows of which only some positions count, against one-by-one softmaxes; states only where asked for."""
+    from quillspark.llm import lm_model as net
+
+    rng = np.random.default_rng(4)
+    flat = (net.start() + rng.normal(0, 0.1, net.SIZE)).astype(np.float32)
+    prior = net.prior(rng.integers(0, 9, (net.LEAVES + 2, net.LEAVES + 1)).astype(float))
+    x, y, counts = net.windows(rng.integers(0, net.LEAVES + 1, 70).astype(np.int32))
+    p = net.views(flat)
+    h = net.hidden(p, x, counts)[0]
+    assert h.shape == (70, net.WIDTH)
+    assert np.allclose(h, net.hidden(p, x)[0][counts.ravel()], atol=1e-6)
+    dh_cls, loss = np.zeros_like(p["cls"]), 0.0
+    mem_b = np.zeros_like(p["mem_b"])
+    for state, before, after in zip(h, x[counts], y[counts], strict=True):
+        c, m = divmod(int(after), net.MEMBERS)
+        for logits, own, add in ((state @ p["cls"] + p["cls_b"] + prior[0][before], c, 0), (state @ p["mem"][c] + p["mem_b"][c] + prior[1][before, c], m, 1)):
+            share = np.exp(logits - logits.max())
+            share /= share.sum()
+            loss -= np.log(share[own]) / 70
+            share[own] -= 1
+            if add:
+                mem_b[c] += share / 70
+            else:
+                dh_cls += np.outer(state, share) / 70
+    got, grad = net.loss_and_gradient(flat, prior, x, y, counts)
+    g = net.views(grad)
+    assert abs(got - loss) < 1e-4
+    assert np.allclose(g["cls"], dh_cls, atol=1e-5)
+    assert np.allclose(g["mem_b"], mem_b, atol=1e-5)
+    assert net.loss_and_gradient(flat, prior, x, y, np.zeros_like(counts))[0] == 0
