@@ -17,13 +17,18 @@ LEAVES = CLASSES * MEMBERS - 1  # the last leaf stands for all rarer ids
 BEGIN = LEAVES + 1
 SHAPES = {
     "emb": (LEAVES + 2, WIDTH), "pos": (SPAN, WIDTH), "qkv": (WIDTH, 3 * WIDTH), "out": (WIDTH, WIDTH),
-    "up": (WIDTH, HIDDEN), "up_b": (HIDDEN,), "down": (HIDDEN, WIDTH),
-    "cls": (WIDTH, CLASSES), "cls_b": (CLASSES,), "mem": (CLASSES, WIDTH, MEMBERS), "mem_b": (CLASSES, MEMBERS),
+    "up_1": (WIDTH + 1, HIDDEN), "down": (HIDDEN, WIDTH), "cls_1": (WIDTH + 1, CLASSES), "mem_1": (CLASSES, WIDTH + 1, MEMBERS),
 }
+#: The last row of these is the bias, for states with a 1 at their end.
+BIASED = ("up", "cls", "mem")
 SIZE = sum(math.prod(s) for s in SHAPES.values())
 _PAST = np.tril(np.ones((SPAN, SPAN), np.float32))
-#: Scores up to which exponentials need no shift; larger ones are shifted by their row's largest.
-SAFE = 60.0
+#: Sums of exponentials up to which (and down to one over which) scores need no shift; others are shifted by their row's largest.
+SAFE = 1e25
+_ONES = np.ones((1 << 16, 1), np.float32)
+QUERY = np.float32(WIDTH**-0.5)
+_CELL = np.arange((LEAVES + 2) * WIDTH).reshape(-1, WIDTH)
+CLASS_OF = (np.arange(LEAVES + 1) // MEMBERS).astype(np.int8)
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -33,6 +38,8 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
         n = math.prod(s)
         out[k] = flat[at : at + n].reshape(s)
         at += n
+    for k in BIASED:
+        out[k], out[f"{k}_b"] = out[f"{k}_1"][..., :WIDTH, :], out[f"{k}_1"][..., WIDTH, :]
     return out
 
 
@@ -56,75 +63,115 @@ def prior(pairs: np.ndarray, strength: float = 8.0) -> tuple[np.ndarray, np.ndar
     return np.log(cls).astype(np.float32), np.log(p / cls[:, :, None]).astype(np.float32)
 
 
-def _softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log probabilities of the column own of each row; z becomes the rows' probabilities."""
-    if z.max(initial=0) > SAFE or z.min(initial=0) < -SAFE:
-        z -= z.max(axis=1, keepdims=True)
-    out = z[np.arange(len(z)), own]
-    np.exp(z, out=z)
-    total = z @ np.ones((z.shape[1], 1), z.dtype)
-    z /= total
-    return out - np.log(total[:, 0])
+def _sums(a: np.ndarray) -> np.ndarray:
+    """The rows' sums as a column; for short rows a product with ones is fastest."""
+    return a @ _ONES[: a.shape[1]]
 
 
-def _log_total(z: np.ndarray) -> np.ndarray:
-    """Logarithms of the rows' sums of exponentials; z is overwritten. A product with ones adds short rows fastest."""
-    np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], z.dtype))
+def _with_ones(a: np.ndarray) -> np.ndarray:
+    out = np.empty((len(a), a.shape[1] + 1), a.dtype)
+    out[:, :-1] = a
+    out[:, -1] = 1
+    return out
 
 
-def attended(p: dict, x: np.ndarray) -> tuple:
-    """States after attention of the windows x (n, SPAN) of leaves, with what the gradients need (weights before division by their sums)."""
+def _exp(z: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of z less a shift, where keep is 1, the sums of the last axis as a column, and the shift: 0, or a number a row."""
+    width = z.shape[-1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(z)
+        if keep is not None:
+            e *= keep
+        total = _sums(e.reshape(-1, width))
+    if len(total) and not (total.min() > 1 / SAFE and total.max() < SAFE):
+        top = (z if keep is None else np.where(keep > 0, z, -np.inf)).max(axis=-1, keepdims=True)
+        e = np.exp(np.minimum(z - top, 0))
+        if keep is not None:
+            e *= keep
+        return e, _sums(e.reshape(-1, width)), top
+    return e, total, 0.0
+
+
+def _softmax(z: np.ndarray, own: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Minus the log probabilities of the column own of each row, added up with the weights w, and the gradient for z."""
+    at = own + np.arange(0, z.size, z.shape[1])
+    e, total, top = _exp(z)
+    e = e.reshape(-1)
+    lost = w @ ((np.log(total) + top)[:, 0] - z.reshape(-1).take(at))
+    d = e.reshape(z.shape)
+    d *= w[:, None] / total
+    e[at] -= w
+    return float(lost), d
+
+
+def first_counted(counts: np.ndarray) -> int:
+    """The first places of the windows that count nowhere are only looked back at; up to SPAN - STEP of them need no queries."""
+    return 0 if counts[:, : SPAN - STEP].any() else SPAN - STEP
+
+
+def attended(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
+    """States after attention of the places from lo on of the windows x (n, SPAN) of leaves, with what the gradients need (weights before division by their sums, and one over these)."""
     n = len(x)
     h0 = p["emb"].take(x, axis=0)
     h0 += p["pos"]
-    qkv = (h0.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, SPAN, 3 * WIDTH)
-    q, k = qkv[:, :, :WIDTH] * np.float32(WIDTH**-0.5), qkv[:, :, WIDTH : 2 * WIDTH]
-    v = np.ones((n, SPAN, WIDTH + 1), np.float32)  # the last column adds up the weights
-    v[:, :, :WIDTH] = qkv[:, :, 2 * WIDTH :]
-    e = q @ k.transpose(0, 2, 1)
-    if e.max(initial=0) > SAFE or e.min(initial=0) < -SAFE:
-        e -= np.where(_PAST > 0, e, -np.inf).max(axis=2, keepdims=True)
-        np.minimum(e, 0, out=e)
-    np.exp(e, out=e)
-    e *= _PAST
-    z = e @ v
-    total = z[:, :, WIDTH:]
-    z = z[:, :, :WIDTH] / total
-    return h0.reshape(-1, WIDTH) + z.reshape(-1, WIDTH) @ p["out"], (h0, qkv, e, total, z)
+    w = p["qkv"].copy()
+    w[:, :WIDTH] *= QUERY
+    qkv = (h0.reshape(-1, WIDTH) @ w).reshape(n, SPAN, 3 * WIDTH)
+    e = qkv[:, lo:, :WIDTH] @ qkv[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    e, total, _ = _exp(e, _PAST[lo:])
+    z = (e @ qkv[:, :, 2 * WIDTH :]).reshape(-1, WIDTH)
+    np.divide(1, total, out=total)
+    z *= total
+    h1 = z @ p["out"]
+    h1.reshape(n, SPAN - lo, WIDTH)[...] += h0[:, lo:]
+    return h1, (h0, w, qkv, e, total, z)
 
 
 def fed(p: dict, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """States after the feed-forward layer, row by row, and its inner activations."""
-    u = h1 @ p["up"]
-    u += p["up_b"]
+    u = _with_ones(h1) @ p["up_1"]
     np.maximum(u, 0, out=u)
-    return h1 + u @ p["down"], u
+    h2 = u @ p["down"]
+    h2 += h1
+    return h2, u
 
 
 def hidden(p: dict, x: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Final states of the positions of the windows x that count, all by default (the others are only looked back at), with their inner activations."""
-    h1 = attended(p, x)[0]
-    return fed(p, h1 if counts is None else h1.take(np.flatnonzero(counts), axis=0))
+    if counts is None:
+        return fed(p, attended(p, x)[0])
+    lo = first_counted(counts)
+    h1 = attended(p, x, lo)[0]
+    at = np.flatnonzero(counts[:, lo:])
+    return fed(p, h1 if len(at) == len(h1) else h1.take(at, axis=0))
+
+
+def _log_probability(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probability of the column own of each row of scores."""
+    out = z.reshape(-1).take(own + np.arange(0, z.size, z.shape[1]))
+    _, total, top = _exp(z)
+    return out - (np.log(total) + top)[:, 0]
 
 
 def log_probs(p: dict, prior: tuple, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log probability of the leaves y after x in states h: of the class, then of its member."""
-    c, m = y // MEMBERS, y % MEMBERS
-    members = prior[1].reshape(-1, MEMBERS)
-    z = h @ p["cls"]
-    z += p["cls_b"]
-    z += prior[0].take(x, axis=0)
-    out = z[np.arange(len(y)), c] - _log_total(z)
-    order = np.argsort(c.astype(np.int8), kind="stable")
-    ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    order = np.argsort(CLASS_OF.take(y), kind="stable")
+    y, x, h = y.take(order), x.take(order), _with_ones(h.take(order, axis=0))
+    c = CLASS_OF.take(y).astype(np.intp)
+    ends = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    z = prior[0].take(x, axis=0)
+    z += h @ p["cls_1"]
+    lp = _log_probability(z, c)
+    z = prior[1].reshape(-1, MEMBERS).take(x * CLASSES + c, axis=0)
+    own = np.empty_like(z)
     for j in range(CLASSES):
-        at = order[ends[j] : ends[j + 1]]
-        if len(at):
-            z = h.take(at, axis=0) @ p["mem"][j]
-            z += p["mem_b"][j]
-            z += members.take(x[at] * CLASSES + j, axis=0)
-            out[at] += z[np.arange(len(at)), m[at]] - _log_total(z)
+        if ends[j] < ends[j + 1]:
+            s = slice(ends[j], ends[j + 1])
+            np.matmul(h[s], p["mem_1"][j], out=own[s])
+    z += own
+    lp += _log_probability(z, y - c * MEMBERS)
+    out = np.empty_like(lp)
+    out[order] = lp
     return out
 
 
@@ -132,65 +179,70 @@ def loss_and_gradient(flat: np.ndarray, prior: tuple, x: np.ndarray, y: np.ndarr
     """Weighted mean negative log probability and its gradient; weight is 0 at padding."""
     p, grad = views(flat), np.zeros_like(flat)
     g = views(grad)
-    n = len(x)
-    h1_all, (h0, qkv, e, total, z) = attended(p, x)
+    n, lo = len(x), first_counted(weight)
+    x = x.astype(np.intp)
+    h1_all, (h0, qkv_w, qkv, a, total, z) = attended(p, x, lo)
     q, k, v = (qkv[:, :, i : i + WIDTH] for i in range(0, 3 * WIDTH, WIDTH))
-    a = np.divide(e, total, out=e)
+    a *= total.reshape(n, -1, 1)
     # only positions that count get an output; they stand by class, so that each class is one slice
-    at = np.flatnonzero(weight.ravel() > 0)
-    at = at[np.argsort((y.ravel()[at] // MEMBERS).astype(np.int8), kind="stable")]
-    flat_x, flat_y = x.ravel(), y.ravel()[at]
-    w = (weight.ravel()[at] / max(weight.sum(), 1)).astype(np.float32)
-    own_x, c, m = flat_x[at], flat_y // MEMBERS, flat_y % MEMBERS
-    rows = np.arange(len(at))
+    weight, y = weight[:, lo:].ravel(), y[:, lo:].ravel()
+    at = np.flatnonzero(weight > 0)
+    at = at[np.argsort(CLASS_OF.take(y[at]), kind="stable")]
+    own_x, own_y = x[:, lo:].ravel().take(at), y.take(at)
+    w = (weight[at] / max(weight.sum(), 1)).astype(np.float32)
+    c = CLASS_OF.take(own_y).astype(np.intp)
+    m = own_y - c * MEMBERS
     ends = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
     slices = [(j, slice(ends[j], ends[j + 1])) for j in range(CLASSES) if ends[j] < ends[j + 1]]
-    ones = np.ones(len(at), np.float32)  # a product with it adds up columns fastest
     h1 = h1_all.take(at, axis=0)
     h2, u = fed(p, h1)
-    d = h2 @ p["cls"]
-    d += p["cls_b"]
-    d += prior[0].take(own_x, axis=0)
-    loss = -(_softmax(d, c) * w).sum()
-    d *= w[:, None]
-    d[rows, c] -= w
-    g["cls"] += h2.T @ d
-    g["cls_b"] += ones @ d
+    h2 = _with_ones(h2)
+    z2 = h2 @ p["cls_1"]
+    z2 += prior[0].take(own_x, axis=0)
+    loss, d = _softmax(z2, c, w)
+    np.matmul(h2.T, d, out=g["cls_1"])
     dh = d @ p["cls"].T
-    d = np.empty((len(at), MEMBERS), np.float32)
+    own_x *= CLASSES
+    own_x += c
+    z2 = np.empty((len(at), MEMBERS), np.float32)
     for j, s in slices:
-        np.matmul(h2[s], p["mem"][j], out=d[s])
-    d += p["mem_b"].take(c, axis=0)
-    d += prior[1].reshape(-1, MEMBERS).take(own_x * CLASSES + c, axis=0)
-    loss -= (_softmax(d, m) * w).sum()
-    d *= w[:, None]
-    d[rows, m] -= w
+        np.matmul(h2[s], p["mem_1"][j], out=z2[s])
+    z2 += prior[1].reshape(-1, MEMBERS).take(own_x, axis=0)
+    more, d = _softmax(z2, m, w)
     back = np.empty_like(dh)
     for j, s in slices:
-        np.matmul(h2[s].T, d[s], out=g["mem"][j])
-        np.matmul(d[s], p["mem"][j].T, out=back[s])
+        d_j = d[s]
+        np.matmul(h2[s].T, d_j, out=g["mem_1"][j])
+        np.matmul(d_j, p["mem"][j].T, out=back[s])
     dh += back
-    if slices:
-        g["mem_b"][[j for j, _ in slices]] = np.add.reduceat(d, [s.start for _, s in slices], axis=0)
-    g["down"] += u.T @ dh
-    du = (dh @ p["down"].T) * (u > 0)
-    g["up"] += h1.T @ du
-    g["up_b"] += ones @ du
+    np.matmul(u.T, dh, out=g["down"])
+    du = dh @ p["down"].T
+    du *= u > 0
+    np.matmul(_with_ones(h1).T, du, out=g["up_1"])
+    dh += du @ p["up"].T
     dh1 = np.zeros_like(h1_all)
-    dh1[at] = dh + du @ p["up"].T
-    g["out"] += z.reshape(-1, WIDTH).T @ dh1
-    dz = (dh1 @ p["out"].T).reshape(n, SPAN, WIDTH)
-    da = dz @ v.transpose(0, 2, 1)
-    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
-    ds = da * a
-    ds *= np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz], axis=2).reshape(-1, 3 * WIDTH)
-    g["qkv"] += h0.reshape(-1, WIDTH).T @ dqkv
-    dh0 = dh1 + dqkv @ p["qkv"].T
-    g["pos"] += dh0.reshape(n, SPAN, WIDTH).sum(axis=0)
-    cell = (flat_x[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    g["emb"] += np.bincount(cell, weights=dh0.ravel(), minlength=g["emb"].size).reshape(g["emb"].shape)
-    return float(loss), grad
+    dh1[at] = dh
+    np.matmul(z.T, dh1, out=g["out"])
+    dz = dh1 @ p["out"].T
+    mean = _sums(dz * z)  # of the gradients of a row's weights, by those weights
+    dz = dz.reshape(n, -1, WIDTH)
+    ds = dz @ v.transpose(0, 2, 1)
+    ds -= mean.reshape(n, -1, 1)
+    ds *= a
+    dqkv = np.empty_like(qkv)
+    dqkv[:, :lo, :WIDTH] = 0
+    np.matmul(ds, k, out=dqkv[:, lo:, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q[:, lo:], out=dqkv[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dz, out=dqkv[:, :, 2 * WIDTH :])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    np.matmul(h0.reshape(-1, WIDTH).T, dqkv, out=g["qkv"])
+    g["qkv"][:, :WIDTH] *= QUERY
+    dh0 = dqkv @ qkv_w.T
+    dh0.reshape(n, SPAN, WIDTH)[:, lo:] += dh1.reshape(n, -1, WIDTH)
+    np.matmul(np.ones(n, np.float32), dh0.reshape(n, -1), out=g["pos"].reshape(-1))
+    cell = _CELL.take(x.ravel(), axis=0).ravel()
+    g["emb"][...] = np.bincount(cell, weights=dh0.ravel(), minlength=g["emb"].size).reshape(g["emb"].shape)
+    return loss + more, grad
 
 
 class Adam:
@@ -198,23 +250,34 @@ class Adam:
         self.rate, self.t, self.m, self.v = rate, 0, np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
 
     def step(self, flat: np.ndarray, grad: np.ndarray) -> None:
+        """One step; grad is overwritten."""
         self.t += 1
-        self.m += np.float32(0.1) * (grad - self.m)
-        self.v += np.float32(0.01) * (grad * grad - self.v)
-        flat -= np.float32(self.rate) * (self.m / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.v / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+        self.m *= np.float32(0.9)
+        self.m += np.float32(0.1) * grad
+        grad *= grad
+        grad *= np.float32(0.01)
+        self.v *= np.float32(0.99)
+        self.v += grad
+        scale = math.sqrt(1 - 0.99**self.t)
+        np.sqrt(self.v, out=grad)
+        grad += np.float32(1e-8 * scale)
+        np.divide(self.m, grad, out=grad)
+        grad *= np.float32(self.rate * scale / (1 - 0.9**self.t))
+        flat -= grad
 
 
 def windows(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and mask of the overlapping windows over one text; each target counts once.
 
-    Windows begin STEP apart; all but the first count only what the one before did not reach.
+    Windows begin STEP apart and count their last STEP places; those before the text hold BEGIN.
     """
     n = len(leaves)
-    count = 1 + max(0, -(-(n - SPAN) // STEP))
-    pad = (count - 1) * STEP + SPAN
+    back = SPAN - STEP
+    count = max(1, -(-n // STEP))
+    pad = count * STEP + back
     x, y = np.full(pad, BEGIN, np.int32), np.full(pad, LEAVES, np.int32)
-    x[1:n], y[:n] = leaves[:-1], leaves
+    x[back + 1 : back + n], y[back : back + n] = leaves[:-1], leaves
     at = np.arange(count)[:, None] * STEP + np.arange(SPAN)
-    mask = at < n
-    mask[1:, : SPAN - STEP] = False
+    mask = at < back + n
+    mask[:, :back] = False
     return x[at], y[at], mask

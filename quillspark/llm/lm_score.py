@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lm_model as net
-from .common import U64, cut, doc_chunks, hashed_docs, pick, small_batches, uncollected, utf8
+from .common import U64, cut, doc_chunks, hashed_docs, pick, reuse_memory, small_batches, uncollected, utf8
 
 SHARD_IDS, ROUNDS, BATCH, LEAST_STEPS = 400_000, 9, 64, 200
 RATE = 4e-3
@@ -69,7 +69,7 @@ class Ids:
     def _learn(self, words: list[bytes]) -> None:
         texts = [" " + w.decode("utf-8", "replace") for w in words]
         plain = [(w, t) for w, t in zip(words, texts, strict=True) if len(t) <= LONG_WORD]
-        got = np.array(self.encoding.encode_ordinary("".join([t for _, t in plain])), "<u2")
+        got = self.encoding.encode_to_numpy("".join([t for _, t in plain]), disallowed_special=()).astype("<u2")
         cuts = 2 * (np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(t.encode()) for _, t in plain])) + 1)
         raw, at = got.tobytes(), 0
         for (w, _), end in zip(plain, cuts.tolist(), strict=True):
@@ -82,13 +82,14 @@ class Ids:
 
     def of(self, words: list[bytes], end: bool = True) -> np.ndarray:
         known = self.known
-        try:
-            out = [known[w] for w in words]
-        except KeyError:
+        out = list(map(known.get, words))
+        new = [i for i, x in enumerate(out) if x is None]
+        if new:
             if len(known) > KNOWN_WORDS:
                 known.clear()
-            self._learn(list({w for w in words if w not in known}))
-            out = [known[w] for w in words]
+            self._learn(list({words[i] for i in new}))
+            for i in new:
+                out[i] = known[words[i]]
         return np.frombuffer(b"".join(out) + (self.last if end else b""), "<u2")
 
 
@@ -172,6 +173,7 @@ def _pair_counts(leaf):
 
 def train_shard(flat: np.ndarray, prior: tuple, texts: list[np.ndarray], leaf: np.ndarray, seed: int, rate: float) -> np.ndarray:
     """One pass of Adam over the texts' windows, at least LEAST_STEPS steps."""
+    reuse_memory()
     flat = flat.copy()
     parts = [net.windows(leaf[t]) for t in texts]
     x, y, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -232,6 +234,7 @@ def train(texts: DataFrame, leaf: np.ndarray, prior: tuple, n_ids: int) -> np.nd
 
 def _score(vocabulary: tuple[str, str], shared):
     def run(batches):
+        reuse_memory()
         flat, prior, leaf, within, top, logs = shared.value
         p, ids, task, row = net.views(flat), subword_ids(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:

@@ -755,3 +755,42 @@ def test_lm_gradient_of_counted_positions_by_plain_sums():
     assert np.allclose(g["cls"], dh_cls, atol=1e-5)
     assert np.allclose(g["mem_b"], mem_b, atol=1e-5)
     assert net.loss_and_gradient(flat, prior, x, y, np.zeros_like(counts))[0] == 0
+
+
+def test_lm_windows_ask_only_where_they_count(monkeypatch):
+    """Places that are only looked back at get no queries, in texts of any length; scores of any size stay finite."""
+    from quillspark.llm import lm_model as net
+
+    rng = np.random.default_rng(6)
+    p = net.views(net.start())
+    prior = net.prior(rng.integers(0, 9, (net.LEAVES + 2, net.LEAVES + 1)).astype(float))
+    parts = [net.windows(rng.integers(0, net.LEAVES + 1, n).astype(np.int32)) for n in (1, net.STEP, net.STEP + 1, net.SPAN, 200)]
+    assert [len(m) for _, _, m in parts] == [1, 1, 2, 2, 11]
+    x, y, counts = (np.concatenate([w[i] for w in parts]) for i in range(3))
+    assert not counts[:, : net.SPAN - net.STEP].any()
+    whole = net.attended(p, x)[0].reshape(len(x), net.SPAN, net.WIDTH)
+    rows = []
+    monkeypatch.setattr(net, "fed", lambda p, h1, fed=net.fed: rows.append(h1) or fed(p, h1))
+    h = net.hidden(p, x, counts)[0]
+    assert np.allclose(rows[0], whole[counts], atol=1e-6)
+    assert len(net.attended(p, x, net.first_counted(counts))[0]) == len(x) * net.STEP
+    for size in (1, 3000):
+        at = x[counts], y[counts]
+        got = net.log_probs(p, prior, h * np.float32(size), *at)
+        assert np.isfinite(got).all() and (got <= 1e-4).all()
+    flat = (net.start() * 40).astype(np.float32)
+    loss, grad = net.loss_and_gradient(flat, prior, x, y, counts)
+    assert np.isfinite(loss) and np.isfinite(grad).all()
+
+
+def test_lm_ids_learn_each_missing_word_once(monkeypatch):
+    ids = lm_score.Ids(subwords("byte_bpe_50k.tiktoken"))
+    asked, learn = [], ids._learn
+    monkeypatch.setattr(ids, "_learn", lambda new: (asked.append(sorted(new)), learn(new)))
+    monkeypatch.setattr(lm_score, "KNOWN_WORDS", 2)
+    first = ids.of([b"one", b"two", b"three"])
+    assert asked == [[b"one", b"three", b"two"]]
+    assert ids.of([b"two", b"four", b"two", b"four"]).tolist() == [*ids.of([b"two"], end=False), *ids.of([b"four"], end=False)] * 2 + [ids.end]
+    # words that were at hand when others were forgotten are not encoded again
+    assert asked[1] == [b"four"]
+    assert ids.of([b"one", b"two", b"three"]).tolist() == first.tolist()
